@@ -30,9 +30,9 @@ MAX_REPEAT_PERCENT = 30
 
 #: Share of a group that a concentration step keeps, number of steps, factor that makes the scatter of that central share
 #: consistent at the normal distribution (5 dimensions, 0.75), least group, and largest squared distance kept.
-SUPPORT, STEPS, CONSISTENCY, MIN_GROUP, CUTOFF = 0.75, 3, 1.42, 50, 60.0
+SUPPORT, STEPS, CONSISTENCY, MIN_GROUP, CUTOFF = 0.75, 3, 1.42, 50, 40.0
 #: Least standard deviation of each statistic.
-FLOORS = {"f_word": 0.06, "f_symbol": 0.05, "f_line": 0.08, "f_repeat": 0.10, "f_upper": 0.06}
+FLOORS = {"f_word": 0.06, "f_symbol": 0.05, "f_line": 0.20, "f_repeat": 0.20, "f_upper": 0.06}
 NAMES = list(FLOORS)
 BUCKETS = 64
 
