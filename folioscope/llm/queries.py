@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import jaccard_join, lm_scoring, packing, pivot_index, quality_classifier, quality_rules, url_filter
+from folioscope.llm import html_extract, jaccard_join, lm_scoring, packing, pivot_index, quality_classifier, quality_rules, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(spark, _table(spark, sf_dir, "documents"), quality_classifier.held_out(F.col("doc_id"), 7, 2))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op4_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_index.near_duplicates(spark, _table(spark, sf_dir, "embeddings"))
 
@@ -48,6 +52,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_lm_scoring": op2_lm_scoring,
+    "op3_html_extraction": op3_html_extraction,
     "op4_pivot_index": op4_pivot_index,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
