@@ -335,7 +335,7 @@ def _extract(keep: tuple[str, ...]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [extract_text(h) for h in batch["html"]]
-            yield batch[list(keep)].assign(text=texts, n_chars=[len(t) for t in texts])
+            yield batch[list(keep)].assign(text=pd.Series(texts, index=batch.index, dtype=object), n_chars=[len(t) for t in texts])
 
     return run
 

@@ -138,16 +138,18 @@ def robust_groups(spark: SparkSession, rows: DataFrame, scratch: Scratch) -> Dat
     return stats
 
 
-def judge_quality(spark: SparkSession, docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """Adds the counts, ``base_failed``, ``distance`` (squared; null where the group is too small) and ``kept`` to ``docs``.
+#: Groups whose estimates are broadcast at most (some 200 bytes each); beyond, they are joined by a shuffle.
+MAX_BROADCAST = 50_000
 
-    ``docs`` has doc_id, text, lang, source; the text isn't returned.
-    """
+
+def judge_quality(spark: SparkSession, docs: DataFrame, cutoff: float = CUTOFF, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``keep`` columns of ``docs`` (text, lang, source and those), the counts, ``base_failed``, ``distance`` (squared; null
+    where the group is too small) and ``kept``."""
     scratch = Scratch(spark, "quality")
     group = F.concat(F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("-")), F.lit("\u0001"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-")))
-    counted = text_counts(docs.select("doc_id", "text", group.alias("g"))).drop("text").withColumn("base_failed", base_failed())
+    counted = text_counts(docs.select("text", group.alias("g"), F.struct(*keep).alias("_kept"))).drop("text").withColumn("base_failed", base_failed())
     rows = scratch.table(_statistics(counted))
     stats = robust_groups(spark, rows.where("not base_failed").select("g", *NAMES), scratch)
-    out = _distance(rows, stats)
+    out = _distance(rows, F.broadcast(stats) if stats.count() <= MAX_BROADCAST else stats)
     kept = ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= cutoff)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("d2").alias("distance"), kept.alias("kept"), *NAMES, "g")
+    return out.select("_kept.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("d2").alias("distance"), kept.alias("kept"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import html_extract, jaccard_join, lm_scoring, packing, pivot_index, quality_classifier, quality_rules, url_filter
+from folioscope.llm import html_extract, jaccard_join, license_scan, lm_scoring, packing, piece_sampling, pivot_index, quality_classifier, quality_rules, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,17 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(spark, _table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("_"))
+    path = F.concat_ws("/", part("source"), part("lang"), F.concat(part("doc_id"), F.lit(".txt")))
+    return license_scan.scan_licences(spark, _table(spark, sf_dir, "documents"), path)
+
+
+def op9_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = piece_sampling.encode_documents(_table(spark, sf_dir, "documents"))
+    return encoded.select("doc_id", "n_pieces", F.crc32("ids").alias("ids_crc32"), "lossless")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(spark, _table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -57,6 +68,8 @@ QUERIES = {
     "op5_quality_classifier": op5_quality_classifier,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_quality_rules": op7_quality_rules,
+    "op8_license_scan": op8_license_scan,
+    "op9_piece_sampling": op9_piece_sampling,
     "op10_packing": op10_packing,
 }
 
