@@ -40,14 +40,29 @@ def default_path() -> str:
     return public_tokenizers.path(MODEL)
 
 
+_BASE = 0x9E3779B97F4A7C15 | 1
+
+
+def _powers(n: int, base: int) -> np.ndarray:
+    out = np.full(n, _U(base % 2**64), dtype=np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+
+
 class Vocabulary:
+    """Pieces by length as sorted hashes, with ids and log weights; byte pieces; the text of each id."""
+
     def __init__(self, path: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.weight: dict[str, tuple[int, float]] = {}
-        self.byte = [0] * 256
+        self.byte = np.zeros(256, dtype=np.int64)
         self.text: list[str] = []
+        pieces: dict[int, list[tuple[int, int, float]]] = {}
         rank = 0
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
@@ -59,34 +74,15 @@ class Vocabulary:
                 self.text.append("")
             else:
                 rank += 1
-                self.weight[piece.replace(SPACE, " ")] = (i, float((rank + RANK_SHIFT) ** -ALPHA))
-                self.text.append(piece.replace(SPACE, " "))
-        self.longest = max(map(len, self.weight))
-        self.byte_weight = float(np.exp(BYTE_LOG))
-
-    def lattice(self, word: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each end, (start, share of the forward sum, ids) of the edges there; a character of no piece is one edge of its bytes."""
-        n, get = len(word), self.weight.get
-        forward = [1.0] + [0.0] * n
-        out: list[list[tuple[int, float, tuple[int, ...]]]] = [[]]
-        for end in range(1, n + 1):
-            edges = []
-            for start in range(max(0, end - self.longest), end):
-                if (known := get(word[start:end])) is not None:
-                    edges.append((start, forward[start] * known[1], (known[0],)))
-            c = word[end - 1]
-            if c not in self.weight:
-                raw = c.encode("utf-8", "surrogatepass")
-                edges.append((end - 1, forward[end - 1] * self.byte_weight ** len(raw), tuple(self.byte[b] for b in raw)))
-            total = sum(e[1] for e in edges)
-            out.append([(s, f / total, ids) for s, f, ids in edges])
-            forward[end] = total
-            if total < 1e-200:  # scale what later edges can reach
-                low = max(0, end - self.longest)
-                scale = max(forward[low : end + 1])
-                for k in range(low, end + 1):
-                    forward[k] /= scale
-        return out
+                own = piece.replace(SPACE, " ")
+                codes = _codes(own)
+                h = int(((codes + _U(1)) * _powers(len(codes), _BASE)).sum(dtype=np.uint64))
+                pieces.setdefault(len(own), []).append((h, i, -ALPHA * float(np.log(rank + RANK_SHIFT))))
+                self.text.append(own)
+        self.by_length = {}
+        for n, found in sorted(pieces.items()):
+            found.sort()
+            self.by_length[n] = (np.array([h for h, _, _ in found], dtype=np.uint64), np.array([i for _, i, _ in found]), np.array([w for _, _, w in found]))
 
 
 @lru_cache(maxsize=2)
@@ -94,25 +90,65 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def _utf8_size(code: np.ndarray) -> np.ndarray:
+    return 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
+
+
 class Lattices:
-    """Lattices of distinct words in flat arrays: node = offset of the word + end position."""
+    """Forward-filtered lattices of distinct words in flat arrays. A word of n characters has n + 1 nodes; ``edge_id`` is a
+    piece's id, or -1 - code point for a character of no piece. ``upto`` cumulates the shares of the edges into a node."""
 
     def __init__(self, words: list[str], known: Vocabulary):
-        self.offset = np.zeros(len(words), dtype=np.int64)
-        first, upto, start, ids, node = [], [], [], [], 0
-        for k, word in enumerate(words):
-            self.offset[k] = node
-            for edges in known.lattice(word):
-                first.append(len(upto))
-                total = 0.0
-                for s, share, piece in edges:
-                    total += share
-                    upto.append(total)
-                    start.append(node + s)
-                    ids.append(piece)
-            node += len(word) + 1
-        self.first, self.upto, self.start, self.ids = np.array([*first, len(upto)]), np.array(upto), np.array(start, dtype=np.int64), ids
-        self.length = np.array([len(w) for w in words], dtype=np.int64)
+        codes = _codes("".join(words))
+        self.length = np.fromiter(map(len, words), np.int64, len(words))
+        word = np.repeat(np.arange(len(words)), self.length)
+        begin = np.cumsum(self.length) - self.length
+        place = np.arange(len(codes)) - begin[word]
+        self.offset = begin + np.arange(len(words))
+        prefix = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((codes + _U(1)) * _powers(len(codes), _BASE), dtype=np.uint64)])
+        undo = _powers(len(codes), pow(_BASE, -1, 2**64))
+        single = np.zeros(len(codes), dtype=bool)
+        starts, sizes, ids, logs = [], [], [], []
+        for n, (hashes, piece, weight) in known.by_length.items():
+            at = np.flatnonzero(place + n <= self.length[word])
+            h = (prefix[at + n] - prefix[at]) * undo[at]
+            k = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            hit = hashes[k] == h
+            at, k = at[hit], k[hit]
+            if n == 1:
+                single[at] = True
+            starts.append(at)
+            sizes.append(np.full(len(at), n))
+            ids.append(piece[k])
+            logs.append(weight[k])
+        rest = np.flatnonzero(~single)
+        starts.append(rest)
+        sizes.append(np.ones(len(rest), dtype=np.int64))
+        ids.append(-1 - codes[rest].astype(np.int64))
+        logs.append(BYTE_LOG * _utf8_size(codes[rest].astype(np.int64)))
+        start, size, edge_id, log = map(np.concatenate, (starts, sizes, ids, logs))
+        end_place = place[start] + size if len(start) else start
+        tail = start + word[start]
+        head = tail + size
+        order = np.lexsort((tail, head, end_place))
+        tail, head, edge_id, log, end_place = tail[order], head[order], edge_id[order], log[order], end_place[order]
+        forward, share = np.zeros(len(codes) + len(words)), np.zeros(len(order))
+        bounds = np.searchsorted(end_place, np.arange(1, int(self.length.max(initial=0)) + 2))
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            reach = forward[tail[lo:hi]] + log[lo:hi]
+            ends = head[lo:hi]
+            cut = np.flatnonzero(np.concatenate([[True], ends[1:] != ends[:-1]]))
+            many = np.diff(np.concatenate([cut, [hi - lo]]))
+            top = np.maximum.reduceat(reach, cut)
+            weight = np.exp(reach - np.repeat(top, many))
+            total = np.add.reduceat(weight, cut)
+            forward[ends[cut]] = top + np.log(total)
+            share[lo:hi] = weight / np.repeat(total, many)
+        order = np.argsort(head, kind="stable")
+        head, self.start, self.edge_id, share = head[order], tail[order], edge_id[order], share[order]
+        self.first = np.searchsorted(head, np.arange(len(codes) + len(words) + 1))
+        summed = np.concatenate([[0.0], np.cumsum(share)])
+        self.upto = summed[1:] - summed[self.first[head]] if len(head) else share
 
     def draw(self, word: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(occurrence, edge) in text order, for occurrences of ``word`` with a 64-bit ``seed`` each."""
@@ -159,11 +195,15 @@ def encode_batch(keys: list, texts: list[str | None], known: Vocabulary, seed: i
         return out
     lattices = Lattices(list(number), known)
     who, edges = lattices.draw(np.array(words), np.concatenate(seeds))
-    sizes = np.fromiter(map(len, lattices.ids), np.int64, len(lattices.ids))
-    flat = np.fromiter((p for ids in lattices.ids for p in ids), np.uint32, int(sizes.sum()))
-    starts = np.cumsum(sizes) - sizes
-    long = sizes[edges]
-    ids = flat[np.repeat(starts[edges] - (np.cumsum(long) - long), long) + np.arange(int(long.sum()))].astype("<u4")
+    piece = lattices.edge_id[edges]
+    long = np.where(piece >= 0, 1, _utf8_size(-1 - piece))
+    starts = np.cumsum(long) - long
+    ids = np.zeros(int(long.sum()), dtype="<u4")
+    ids[starts[piece >= 0]] = piece[piece >= 0]
+    for code in np.unique(piece[piece < 0]).tolist():
+        at = starts[piece == code]
+        for k, b in enumerate(chr(-1 - code).encode("utf-8", "surrogatepass")):
+            ids[at + k] = known.byte[b]
     rows = np.repeat([i for i, _ in owner], [n for _, n in owner])
     per_row = np.bincount(rows[who], weights=long, minlength=len(texts)).astype(np.int64)
     cuts = np.cumsum(per_row)
@@ -181,8 +221,8 @@ def _encode(path: str, seed: int, keep: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = vocabulary(path)
         for batch in batches:
-            for at in range(0, len(batch), 2000):
-                part = batch.iloc[at : at + 2000]
+            for at in range(0, len(batch), 5000):
+                part = batch.iloc[at : at + 5000]
                 ids = encode_batch(part["_key"].tolist(), part["text"].tolist(), known, seed)
                 back = [decode(x, known) == (t or "") for x, t in zip(ids, part["text"], strict=True)]
                 yield part[keep].assign(ids=[x.tobytes() for x in ids], n_pieces=[len(x) for x in ids], lossless=back)
