@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope.functions.numbers import cut_at_word
 from folioscope.functions.text import strip_fence
@@ -41,7 +42,7 @@ def salvage_object(text: str) -> dict | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def salvaged(texts: pd.Series) -> pd.Series:
     """The JSON object of a text, as JSON, read whole or salvaged; null without one."""
 

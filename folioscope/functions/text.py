@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters to delete, icon glyphs read as bullets, commands closed up to what follows, kept prefixes,
 #: markers of blank pages, longest marker.
@@ -323,6 +324,6 @@ def signature_of(text: str) -> str:
     return "".join(unicodedata.normalize("NFC", text).translate({**_LIGATURES, **_HYPHENS}).split()).casefold()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def content_signature(texts: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else signature_of(t) for t in texts], dtype=object)

@@ -29,7 +29,7 @@ def primary_section(types: Column) -> Column:
 def virtual_positions(pages: DataFrame) -> DataFrame:
     """Adds ``span`` (2 for a spread) and ``vpos``, the spans of the document's earlier pages."""
     earlier = Window.partitionBy("item_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    return pages.withColumn("span", F.when("spread", 2).otherwise(1)).withColumn("vpos", F.coalesce(F.sum("span").over(earlier), F.lit(0)))
+    return pages.withColumn("span", F.when(F.col("spread"), 2).otherwise(1)).withColumn("vpos", F.coalesce(F.sum("span").over(earlier), F.lit(0)))
 
 
 def runs(positioned: DataFrame) -> DataFrame:
@@ -59,7 +59,7 @@ def infer_gaps(positioned: DataFrame) -> DataFrame:
     free = guess.withColumn("_free", F.col("_guess").isNotNull() & ~F.array_contains(claimed, F.struct(F.col("_kind").alias("k"), F.col("_guess").alias("n"))))
     first = F.row_number().over(Window.partitionBy("item_id", "_kind", "_guess").orderBy(F.col("_free").desc(), "idx")) == 1
     chosen = free.withColumn("_use", F.col("_free") & first)
-    return chosen.withColumns({"inferred": F.col("_use"), "number_type": F.when("_use", F.col("_kind")).otherwise(F.col("number_type")), "number": F.when("_use", F.col("_guess")).otherwise(F.col("number"))}).drop("_kind", "_guess", "_free", "_use")
+    return chosen.withColumns({"inferred": F.col("_use"), "number_type": F.when(F.col("_use"), F.col("_kind")).otherwise(F.col("number_type")), "number": F.when(F.col("_use"), F.col("_guess")).otherwise(F.col("number"))}).drop("_kind", "_guess", "_free", "_use")
 
 
 def adjust(pages: DataFrame) -> DataFrame:
@@ -73,6 +73,6 @@ def adjust(pages: DataFrame) -> DataFrame:
     out = joined.withColumn("final_number", final.cast("long"))
     kind = F.when(F.col("final_number").isNull(), "none").when(F.col("number_type") == "none", "arabic").otherwise(F.col("number_type"))
     section = Window.partitionBy("item_id", "section")
-    ranked = out.withColumns({"final_type": kind, "final_end": F.when("spread", F.col("final_number") + 1), "section_median": F.median("idx").over(section), "section_start": F.min("idx").over(section)})
+    ranked = out.withColumns({"final_type": kind, "final_end": F.when(F.col("spread"), F.col("final_number") + 1), "section_median": F.median("idx").over(section), "section_start": F.min("idx").over(section)})
     place = F.row_number().over(Window.partitionBy("item_id").orderBy("section_median", "section_start", "idx"))
     return ranked.withColumn("place", place)

@@ -61,7 +61,7 @@ def snapshot(usage: DataFrame) -> DataFrame:
     """Totals of a day at three grains in one pass: all, by tool, by bucket across tools (unattributed left out)."""
     usage.createOrReplaceTempView("_usage_rows")
     out = usage.sparkSession.sql("""
-      SELECT day, CASE grouping_id(tool, provider, key_env, pool) WHEN 15 THEN 'all' WHEN 7 THEN 'tool' ELSE 'bucket' END AS grain, tool, provider, key_env, pool, sum(tokens) AS tokens
+      SELECT day, CASE grouping_id() WHEN 15 THEN 'all' WHEN 7 THEN 'tool' ELSE 'bucket' END AS grain, tool, provider, key_env, pool, sum(tokens) AS tokens
       FROM _usage_rows GROUP BY GROUPING SETS ((day), (day, tool), (day, provider, key_env, pool))""")
     return out.where("grain <> 'bucket' or (provider is not null and key_env is not null)")
 

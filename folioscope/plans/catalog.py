@@ -1,4 +1,4 @@
-"""Registered queries of the document operators, each with its oracle SQL."""
+"""Registered queries of the document operators, each with its oracle SQL where SQL can express it."""
 
 from __future__ import annotations
 
@@ -6,5 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a function under its name."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+from folioscope.plans import citation_queries, page_queries, text_queries, usage_queries  # noqa: E402, F401
