@@ -5,7 +5,9 @@ per label and pair of pivots, so that a list holds the vectors whose shared-pivo
 verified by cosine in double precision.
 
 The reference points are rows of smallest hash, a bounded sample (``MAX_PIVOTS`` at most, twice the square root of the
-table below that). Every row is indexed. Lists of one member are dropped before vectors are sent. A list longer than a
+table below that). A row whose cosine to a chosen point reaches ``APART`` is passed over, so that a dense group doesn't
+supply the points that should tell its members' surroundings, and fixed random directions fill the rest. Every row is
+indexed. Lists of one member are dropped before vectors are sent. A list longer than a
 tile is split; each pair of tiles is a unit of work, so a hot list spreads over tasks. A unit returns, per vector, how many
 of its links it counted, and a spanning forest of them: rows are in proportion to the members, never to the pairs. A pair
 that meets in several lists is counted in the one of its two smallest shared pivots only.
@@ -30,7 +32,7 @@ from folioscope.llm.components import connected_components
 from folioscope.llm.storage import Scratch
 
 THRESHOLD = 0.98
-DEPTH, MIN_PIVOTS, MAX_PIVOTS = 8, 64, 2048
+DEPTH, MIN_PIVOTS, MAX_PIVOTS, APART = 8, 64, 2048, 0.6
 #: Longest list that isn't split, and longest that is compared pair by pair instead of by a matrix product.
 TILE, BULK = 256, 32
 
@@ -137,7 +139,7 @@ def _count_links(threshold: float):
 
 
 def choose_pivots(vectors: DataFrame, total: int) -> np.ndarray:
-    """Unit vectors of the usable rows of smallest content hash, of the commonest dimension among them."""
+    """Reference points as unit vectors, of the commonest dimension in the sample."""
     want = int(min(MAX_PIVOTS, max(MIN_PIVOTS, 2 * total**0.5)))
     sample = vectors.where("embedding is not null and label is not null").select("embedding", F.xxhash64("embedding", "row").alias("h")).orderBy("h").limit(2 * want)
     found = [v for v in _usable([list(r[0]) for r in sample.collect()]) if v is not None]
@@ -145,8 +147,17 @@ def choose_pivots(vectors: DataFrame, total: int) -> np.ndarray:
         return np.zeros((0, 1))
     sizes = [len(v) for v in found]
     common = max(sorted(set(sizes)), key=sizes.count)
-    x = np.array([v / np.abs(v).max() for v in found if len(v) == common][:want])
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    if common < 2:
+        return np.array([[1.0], [-1.0]])[:, :common]
+    rows = np.array([v / np.abs(v).max() for v in found if len(v) == common])
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    chosen, near = [], np.full(len(rows), -1.0)
+    for k in range(len(rows)):
+        if near[k] < APART and len(chosen) < want:
+            chosen.append(rows[k])
+            near = np.maximum(near, rows @ rows[k])
+    fill = np.random.default_rng(0).normal(size=(want - len(chosen), common))
+    return np.concatenate([np.array(chosen), fill / np.linalg.norm(fill, axis=1, keepdims=True)])
 
 
 def _units(postings: DataFrame) -> DataFrame:
