@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from folioscope.llm.shingles import mix
 
 MODEL, ALPHA, RANK_SHIFT, BYTE_LOG = "piece_bpe_32k.model", 1.0, 3.0, -25.0
+#: Characters whose words are filtered together, at most; bounds the memory of a batch.
+BATCH_CHARS = 2_500_000
 SPACE = "▁"
 _SPLIT = re.compile(" +[^ ]*|[^ ]+")
 _U = np.uint64
@@ -130,25 +132,26 @@ class Lattices:
         end_place = place[start] + size if len(start) else start
         tail = start + word[start]
         head = tail + size
-        order = np.lexsort((tail, head, end_place))
-        tail, head, edge_id, log, end_place = tail[order], head[order], edge_id[order], log[order], end_place[order]
-        forward, share = np.zeros(len(codes) + len(words)), np.zeros(len(order))
-        bounds = np.searchsorted(end_place, np.arange(1, int(self.length.max(initial=0)) + 2))
-        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            reach = forward[tail[lo:hi]] + log[lo:hi]
-            ends = head[lo:hi]
-            cut = np.flatnonzero(np.concatenate([[True], ends[1:] != ends[:-1]]))
-            many = np.diff(np.concatenate([cut, [hi - lo]]))
-            top = np.maximum.reduceat(reach, cut)
-            weight = np.exp(reach - np.repeat(top, many))
-            total = np.add.reduceat(weight, cut)
-            forward[ends[cut]] = top + np.log(total)
-            share[lo:hi] = weight / np.repeat(total, many)
-        order = np.argsort(head, kind="stable")
-        head, self.start, self.edge_id, share = head[order], tail[order], edge_id[order], share[order]
-        self.first = np.searchsorted(head, np.arange(len(codes) + len(words) + 1))
-        summed = np.concatenate([[0.0], np.cumsum(share)])
-        self.upto = summed[1:] - summed[self.first[head]] if len(head) else share
+        order = np.argsort(end_place * (len(codes) + len(words) + 1) + head, kind="stable")
+        self.start, head, self.edge_id, log, end_place = tail[order], head[order], edge_id[order], log[order], end_place[order]
+        del order, tail, edge_id
+        cut = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]])) if len(head) else head
+        many = np.diff(np.concatenate([cut, [len(head)]])) if len(head) else head
+        forward, share = np.zeros(len(codes) + len(words)), np.zeros(len(head))
+        self.first, self.last = np.zeros((2, len(codes) + len(words)), dtype=np.int64)
+        self.first[head[cut]], self.last[head[cut]] = cut, cut + many
+        # ends by their place in the word: whatever an end's edges start from is done before
+        level = np.searchsorted(end_place[cut], np.arange(1, int(self.length.max(initial=0)) + 2))
+        for lo, hi in zip(level[:-1].tolist(), level[1:].tolist(), strict=True):
+            begin_, stop = int(cut[lo]), int(cut[hi - 1] + many[hi - 1])
+            reach = forward[self.start[begin_:stop]] + log[begin_:stop]
+            top = np.maximum.reduceat(reach, cut[lo:hi] - begin_)
+            weight = np.exp(reach - np.repeat(top, many[lo:hi]))
+            total = np.add.reduceat(weight, cut[lo:hi] - begin_)
+            forward[head[cut[lo:hi]]] = top + np.log(total)
+            share[begin_:stop] = weight / np.repeat(total, many[lo:hi])
+        summed = np.cumsum(share)
+        self.upto = summed - np.repeat(summed[cut] - share[cut], many) if len(head) else share
 
     def draw(self, word: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(occurrence, edge) in text order, for occurrences of ``word`` with a 64-bit ``seed`` each."""
@@ -156,7 +159,7 @@ class Lattices:
         node, live, step, found = base + self.length[word], np.arange(len(word)), 0, []
         while len(live):
             at = node[live]
-            lo, hi = self.first[at], self.first[at + 1]
+            lo, hi = self.first[at], self.last[at]
             u = (mix(seed[live] + _U((step + 1) * 0x9E3779B97F4A7C15 % 2**64)) >> _U(11)).astype(np.float64) / (1 << 53)
             edge = lo.copy()
             more = np.flatnonzero((edge < hi - 1) & (self.upto[edge] <= u))
@@ -217,12 +220,21 @@ def decode(ids: np.ndarray, known: Vocabulary) -> str:
     return text[1:]
 
 
+def _slices(texts: pd.Series) -> Iterator[slice]:
+    """Rows of ``BATCH_CHARS`` characters at most, or one longer row."""
+    upto = texts.str.len().fillna(0).cumsum().to_numpy()
+    at = 0
+    while at < len(upto):
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BATCH_CHARS, side="right")))
+        yield slice(at, stop)
+        at = stop
+
+
 def _encode(path: str, seed: int, keep: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = vocabulary(path)
         for batch in batches:
-            for at in range(0, len(batch), 5000):
-                part = batch.iloc[at : at + 5000]
+            for part in map(batch.iloc.__getitem__, _slices(batch["text"].astype(object))):
                 ids = encode_batch(part["_key"].tolist(), part["text"].tolist(), known, seed)
                 back = [decode(x, known) == (t or "") for x, t in zip(ids, part["text"], strict=True)]
                 yield part[keep].assign(ids=[x.tobytes() for x in ids], n_pieces=[len(x) for x in ids], lossless=back)
