@@ -120,7 +120,7 @@ def contained(a: Column, b: Column) -> Column:
 
 def context_line(text: Column) -> Column:
     """Non-empty trimmed lines joined by a comma."""
-    return F.array_join(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != ""), ", ")
+    return F.array_join(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != ""), ", ")
 
 
 def keeps_hyphen(left: Column, right: Column) -> Column:
