@@ -42,13 +42,12 @@ def default_path() -> str:
     return public_tokenizers.path(MODEL)
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
+_BASE = 0x9E3779B97F4A7C15
 
 
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, _U(base % 2**64), dtype=np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
+def _slot(h: np.ndarray) -> np.ndarray:
+    """Place in a table of 65536 flags, which tells most strings of no piece without a search."""
+    return (h * _U(0xD6E8FEB86659FD93) >> _U(48)).astype(np.int64)
 
 
 def _codes(text: str) -> np.ndarray:
@@ -77,14 +76,18 @@ class Vocabulary:
             else:
                 rank += 1
                 own = piece.replace(SPACE, " ")
-                codes = _codes(own)
-                h = int(((codes + _U(1)) * _powers(len(codes), _BASE)).sum(dtype=np.uint64))
+                h = 0
+                for c in own:
+                    h = (h * _BASE + ord(c) + 1) % 2**64
                 pieces.setdefault(len(own), []).append((h, i, -ALPHA * float(np.log(rank + RANK_SHIFT))))
                 self.text.append(own)
         self.by_length = {}
         for n, found in sorted(pieces.items()):
             found.sort()
-            self.by_length[n] = (np.array([h for h, _, _ in found], dtype=np.uint64), np.array([i for _, i, _ in found]), np.array([w for _, _, w in found]))
+            hashes = np.array([h for h, _, _ in found], dtype=np.uint64)
+            present = np.zeros(1 << 16, dtype=bool)
+            present[_slot(hashes)] = True
+            self.by_length[n] = (hashes, np.array([i for _, i, _ in found]), np.array([w for _, _, w in found]), present)
 
 
 @lru_cache(maxsize=2)
@@ -107,20 +110,27 @@ class Lattices:
         begin = np.cumsum(self.length) - self.length
         place = np.arange(len(codes)) - begin[word]
         self.offset = begin + np.arange(len(words))
-        prefix = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((codes + _U(1)) * _powers(len(codes), _BASE), dtype=np.uint64)])
-        undo = _powers(len(codes), pow(_BASE, -1, 2**64))
         single = np.zeros(len(codes), dtype=bool)
         starts, sizes, ids, logs = [], [], [], []
-        for n, (hashes, piece, weight) in known.by_length.items():
-            at = np.flatnonzero(place + n <= self.length[word])
-            h = (prefix[at + n] - prefix[at]) * undo[at]
-            k = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            hit = hashes[k] == h
-            at, k = at[hit], k[hit]
+        shifted = codes + _U(1)
+        left = self.length[word] - place  # characters from here to the word's end
+        at, h = np.arange(len(codes)), np.zeros(len(codes), dtype=np.uint64)
+        for n in range(1, max(known.by_length) + 1):
+            if n > 1:
+                more = left[at] >= n
+                at, h = at[more], h[more]
+            h = h * _U(_BASE) + shifted[at + (n - 1)]
+            if n not in known.by_length:
+                continue
+            hashes, piece, weight, present = known.by_length[n]
+            maybe = np.flatnonzero(present[_slot(h)])
+            k = np.minimum(np.searchsorted(hashes, h[maybe]), len(hashes) - 1)
+            hit = hashes[k] == h[maybe]
+            found, k = at[maybe[hit]], k[hit]
             if n == 1:
-                single[at] = True
-            starts.append(at)
-            sizes.append(np.full(len(at), n))
+                single[found] = True
+            starts.append(found)
+            sizes.append(np.full(len(found), n))
             ids.append(piece[k])
             logs.append(weight[k])
         rest = np.flatnonzero(~single)

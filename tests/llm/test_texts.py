@@ -121,7 +121,7 @@ def test_pieces_are_lossless_and_reproducible(spark):
 
 def test_pieces_follow_the_lattice_distribution():
     known, n = piece_sampling.vocabulary(piece_sampling.default_path()), 20_000
-    weight = {known.text[i]: (i, w) for _, ids, logs in known.by_length.values() for i, w in zip(ids.tolist(), logs.tolist(), strict=True)}
+    weight = {known.text[i]: (i, w) for _, ids, logs, _ in known.by_length.values() for i, w in zip(ids.tolist(), logs.tolist(), strict=True)}
 
     def ways(text):
         if not text:
