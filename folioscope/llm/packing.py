@@ -88,12 +88,13 @@ def combinations(units: int) -> np.ndarray:
     return out
 
 
-def nnls(a: np.ndarray, b: np.ndarray, most: int = 3000) -> np.ndarray:
-    """min ||a x - b||, x >= 0, by the active-set method."""
+def nnls(a: np.ndarray, b: np.ndarray, most: int = 3000, product=None) -> np.ndarray:
+    """min ||a x - b||, x >= 0, by the active-set method. ``product(r)`` may give ``a.T @ r`` more cheaply."""
+    product = product or (lambda r: a.T @ r)
     x, passive = np.zeros(a.shape[1]), np.zeros(a.shape[1], dtype=bool)
-    tolerance = 1e-7 * max(1.0, np.abs(a.T @ b).max())
+    tolerance = 1e-7 * max(1.0, np.abs(product(b)).max(initial=0))
     for _ in range(most):
-        w = a.T @ (b - a @ x)
+        w = product(b - a[:, passive] @ x[passive])
         w[passive] = -np.inf
         j = int(np.argmax(w))
         if w[j] <= tolerance or passive.sum() >= a.shape[0]:
@@ -101,7 +102,11 @@ def nnls(a: np.ndarray, b: np.ndarray, most: int = 3000) -> np.ndarray:
         passive[j] = True
         while True:
             at = np.flatnonzero(passive)
-            s = np.linalg.lstsq(a[:, at], b, rcond=None)[0]
+            own = a[:, at]
+            try:
+                s = np.linalg.solve(own.T @ own, own.T @ b)
+            except np.linalg.LinAlgError:
+                s = np.linalg.lstsq(own, b, rcond=None)[0]
             if s.min() > 0:
                 break
             low = s <= 0
@@ -121,7 +126,11 @@ def plan_repeats(histogram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     present = np.all((a == 0) | (histogram[:, None] > 0), axis=0)
     a = a[:, present]
     scale = max(1.0, histogram.max(initial=0))
-    x = np.floor(nnls(a, histogram / scale) * scale + 1e-6) if a.shape[1] else np.zeros(0)
+    # a column has three bins at most: its product with a residual is a sum of three entries
+    rows = np.argsort(-a, axis=0, kind="stable")[:3]
+    share = np.take_along_axis(a, rows, axis=0)
+    product = lambda r: (r[rows] * share).sum(axis=0)
+    x = np.floor(nnls(a, histogram / scale, product=product) * scale + 1e-6) if a.shape[1] else np.zeros(0)
     while (over := a @ x > histogram).any():
         share = np.where(over, histogram / np.maximum(a @ x, 1), 1.0)
         worst = np.min(np.where(a > 0, share[:, None], 1.0), axis=0)
