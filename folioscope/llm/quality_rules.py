@@ -15,6 +15,8 @@ collected, and the h-th smallest distance comes from a histogram of log-distance
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,6 +37,9 @@ SUPPORT, STEPS, CONSISTENCY, MIN_GROUP, CUTOFF = 0.75, 3, 1.42, 50, 40.0
 FLOORS = {"f_word": 0.06, "f_symbol": 0.05, "f_line": 0.20, "f_repeat": 0.20, "f_upper": 0.06}
 NAMES = list(FLOORS)
 BUCKETS = 64
+#: Groups whose estimates are broadcast at most (some 200 bytes each); beyond, they are joined by a shuffle.
+MAX_BROADCAST = 50_000
+Dim = Callable[[DataFrame], DataFrame]
 
 
 def text_counts(docs: DataFrame) -> DataFrame:
@@ -96,9 +101,9 @@ def _factor(stats: DataFrame) -> DataFrame:
     return out.drop(*[f"c_{i}_{j}" for i, j in cover])
 
 
-def _distance(rows: DataFrame, stats: DataFrame) -> DataFrame:
+def _distance(rows: DataFrame, stats: DataFrame, dim: Dim) -> DataFrame:
     """Adds ``d2``, the squared Mahalanobis distance to the row's group, by forward substitution; null without a group."""
-    joined = rows.join(stats.select("g", *[c for c in stats.columns if c[:2] in ("m_", "l_")]), "g", "left")
+    joined = rows.join(dim(stats.select("g", *[c for c in stats.columns if c[:2] in ("m_", "l_")])), "g", "left")
     total = F.lit(0.0)
     for i, a in enumerate(NAMES):
         value = F.col(a) - F.col(f"m_{a}")
@@ -109,7 +114,7 @@ def _distance(rows: DataFrame, stats: DataFrame) -> DataFrame:
     return joined.withColumn("d2", total).select(*rows.columns, "d2")
 
 
-def _central(rows: DataFrame) -> DataFrame:
+def _central(rows: DataFrame, dim: Dim) -> DataFrame:
     """Moments of each group's ``SUPPORT`` share of smallest ``d2``."""
     bucket = F.floor(F.log(F.greatest("d2", F.lit(1e-9))) * BUCKETS)
     binned = rows.where("d2 is not null").withColumn("bucket", bucket)
@@ -117,29 +122,27 @@ def _central(rows: DataFrame) -> DataFrame:
     order = Window.partitionBy("g").orderBy("bucket")
     ranked = counts.withColumns({"upto": F.sum("c").over(order), "all": F.sum("c").over(Window.partitionBy("g"))})
     edge = ranked.where(F.col("upto") >= SUPPORT * F.col("all")).groupBy("g").agg(F.min("bucket").alias("edge"))
-    inner = binned.join(edge, "g").where(F.col("bucket") <= F.col("edge"))
+    inner = binned.join(dim(edge), "g").where(F.col("bucket") <= F.col("edge"))
     sums = [F.sum(a).alias(f"s_{a}") for a in NAMES] + [F.sum(F.col(b) * F.col(a)).alias(f"s_{b}_{a}") for i, a in enumerate(NAMES) for b in NAMES[: i + 1]]
     return inner.groupBy("g").agg(F.count(F.lit(1)).cast("double").alias("n"), *sums)
 
 
-def robust_groups(spark: SparkSession, rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """Location and Cholesky factor of each group of at least ``MIN_GROUP`` rows, by ``STEPS`` concentration steps."""
+def robust_groups(spark: SparkSession, rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, Dim]:
+    """Location and Cholesky factor of each group of at least ``MIN_GROUP`` rows, by ``STEPS`` concentration steps, and how
+    to join such a table: broadcast if there are at most ``MAX_BROADCAST`` groups, so that rows aren't dealt by group."""
     sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("size"), *[F.percentile_approx(a, 0.5, 2000).alias(f"m_{a}") for a in NAMES])
     middle = scratch.table(sizes.where(F.col("size") >= MIN_GROUP))
-    near = rows.join(middle, "g")
+    dim: Dim = F.broadcast if middle.count() <= MAX_BROADCAST else lambda df: df
+    near = rows.join(dim(middle), "g")
     spread = near.groupBy("g").agg(*[(F.percentile_approx(F.abs(F.col(a) - F.col(f"m_{a}")), 0.5, 2000) * 1.4826).alias(f"l_{a}") for a in NAMES])
     start = scratch.table(middle.join(spread, "g"))
     total = F.lit(0.0)
     for a in NAMES:
         total = total + F.pow((F.col(a) - F.col(f"m_{a}")) / F.greatest(F.col(f"l_{a}"), F.lit(FLOORS[a])), 2)
-    stats = scratch.table(_factor(_central(rows.join(start, "g").withColumn("d2", total).select(*rows.columns, "d2"))))
+    stats = scratch.table(_factor(_central(rows.join(dim(start), "g").withColumn("d2", total).select(*rows.columns, "d2"), dim)))
     for _ in range(STEPS):
-        stats = scratch.table(_factor(_central(_distance(rows, stats))))
-    return stats
-
-
-#: Groups whose estimates are broadcast at most (some 200 bytes each); beyond, they are joined by a shuffle.
-MAX_BROADCAST = 50_000
+        stats = scratch.table(_factor(_central(_distance(rows, stats, dim), dim)))
+    return stats, dim
 
 
 def judge_quality(spark: SparkSession, docs: DataFrame, cutoff: float = CUTOFF, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -149,7 +152,7 @@ def judge_quality(spark: SparkSession, docs: DataFrame, cutoff: float = CUTOFF,
     group = F.concat(F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("-")), F.lit("\u0001"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-")))
     counted = text_counts(docs.select("text", group.alias("g"), F.struct(*keep).alias("_kept"))).drop("text").withColumn("base_failed", base_failed())
     rows = scratch.table(_statistics(counted))
-    stats = robust_groups(spark, rows.where("not base_failed").select("g", *NAMES), scratch)
-    out = _distance(rows, F.broadcast(stats) if stats.count() <= MAX_BROADCAST else stats)
+    stats, dim = robust_groups(spark, rows.where("not base_failed").select("g", *NAMES), scratch)
+    out = _distance(rows, stats, dim)
     kept = ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= cutoff)
     return out.select("_kept.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("d2").alias("distance"), kept.alias("kept"))
