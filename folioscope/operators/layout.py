@@ -161,6 +161,29 @@ def repair_text(column: Column | str) -> Column:
     return run(column)
 
 
+def structural_line(line: Column) -> Column:
+    """Headings, page markers, images, table rows and display math, as an expression."""
+    bare = F.trim(line)
+    starts = F.lit(False)
+    for mark in ("#", "<page", "[Page", "![", "$$"):
+        starts = starts | bare.startswith(mark)
+    return starts | bare.endswith("$$") | (bare.startswith("[") & bare.contains("Image:")) | (bare.startswith("|") & bare.endswith("|"))
+
+
+def image_line(line: Column) -> Column:
+    bare = F.trim(line)
+    return bare.startswith("![") | (bare.startswith("[") & bare.contains("Image:"))
+
+
+def prose_line(line: Column) -> Column:
+    return (F.trim(line) != "") & ~structural_line(line)
+
+
+def repair_report(repaired: DataFrame) -> DataFrame:
+    """Counts over ``r`` of ``repair_text``: files, changed by joining, merged and kept hyphens, failed gates, long lines."""
+    return repaired.agg(F.count(F.lit(1)).alias("files"), F.count_if("r.joined").alias("joined"), F.sum("r.merged").alias("merged"), F.sum("r.kept").alias("kept"), F.count_if(~F.col("r.ok")).alias("refused"), F.sum("r.long_lines").alias("long_lines"))
+
+
 def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per line: key, n (from 0), line, region (page markers so far)."""
     lines = docs.select(key, F.posexplode(F.split(text, "\n", -1)).alias("n", "line"))

@@ -25,6 +25,35 @@ def normalize_references(variant: Column) -> Column:
     return F.filter(F.transform(items, lambda x: F.struct(text(x).alias("citation"), partial(x).alias("is_partial"))), lambda r: F.coalesce(F.length(r["citation"]), F.lit(0)) > 0)
 
 
+def summary_payload(result: Column) -> Column:
+    """JSON of a page's summary: the result itself if it has page information, else its ``summary``."""
+    return F.when(F.get_json_object(result, "$.page_information").startswith("{"), result).otherwise(F.get_json_object(result, "$.summary"))
+
+
+def page_information(payload: Column) -> Column:
+    """struct(number, kind, types, spread, end) of a summary's JSON for rendering.
+
+    Unlike numbering, a missing kind is arabic here; a page without a number or of kind none is unnumbered; without any page
+    information the record's ``page`` stands.
+    """
+    info = F.from_json(F.get_json_object(payload, "$.page_information"), "struct<page_number_integer:int,page_number_integer_end:int,page_number_type:string,page_types:array<string>,is_two_page_spread:boolean>")
+    one_type = F.get_json_object(payload, "$.page_information.page_types")
+    types = F.when(F.size(info["page_types"]) > 0, info["page_types"]).when(one_type.isNotNull() & ~one_type.startswith("["), F.array(one_type)).otherwise(F.array(F.lit("content")))
+    given = F.coalesce(info["page_number_type"], F.lit("arabic"))
+    numbered = info["page_number_integer"].isNotNull() & (given != "none")
+    spread = F.coalesce(info["is_two_page_spread"], F.lit(False))
+    full = F.struct(F.when(numbered, info["page_number_integer"]).alias("number"), F.when(numbered, given).otherwise("none").alias("kind"), types.alias("types"), spread.alias("spread"), F.when(numbered & spread, F.coalesce(info["page_number_integer_end"], info["page_number_integer"] + 1)).alias("end"))
+    bare = F.struct(F.get_json_object(payload, "$.page").try_cast("int").alias("number"), F.lit("arabic").alias("kind"), F.array(F.lit("content")).alias("types"), F.lit(False).alias("spread"), F.lit(None).cast("int").alias("end"))
+    return F.when(info.isNotNull(), full).otherwise(bare)
+
+
+def filled_information(info: Column, page: Column) -> Column:
+    """Page information of an answer with what it lacks: the page's own number, kind by the number, content, no spread."""
+    number = F.coalesce(info["page_number_integer"], page)
+    kind = F.coalesce(info["page_number_type"], F.when(info.isNull() | (number > 0), "arabic").otherwise("none"))
+    return F.struct(number.alias("page_number_integer"), F.coalesce(info["is_two_page_spread"], F.lit(False)).alias("is_two_page_spread"), info["page_number_integer_end"].alias("page_number_integer_end"), kind.alias("page_number_type"), F.coalesce(info["page_types"], F.array(F.lit("content"))).alias("page_types"))
+
+
 def is_failure_mark(bullet: Column) -> Column:
     low = F.lower(F.trim(bullet))
     out = F.lit(False)

@@ -180,3 +180,25 @@ def total_tokens(total: Column, given: Column, made: Column, cache_read: Column,
 
 def effective_used(shared: Column, degraded: Column, combined: Column, unsynced: Column, own: Column) -> Column:
     return F.when(shared & ~degraded, combined + unsynced).otherwise(own)
+
+
+def limiter_statistics(requests: DataFrame) -> DataFrame:
+    """Per key: requests, errors, share of errors, mean wait. ``requests``: key, outcome, wait."""
+    bad = F.col("outcome") != "ok"
+    return requests.groupBy("key").agg(F.count(F.lit(1)).alias("requests"), F.count_if(bad).alias("errors"), (F.count_if(bad) / F.count(F.lit(1))).alias("error_share"), F.coalesce(F.avg("wait"), F.lit(0.0)).alias("mean_wait"))
+
+
+def latched_until(marks: DataFrame) -> DataFrame:
+    """Per key the time until which look-ups rest: the latest mark (key, ts, retry_after seconds)."""
+    return marks.groupBy("key").agg(F.max(F.timestamp_add("SECOND", F.col("retry_after").cast("int"), F.col("ts"))).alias("until"))
+
+
+def usage_rows(usage: DataFrame) -> DataFrame:
+    """Positive rows in a fixed order."""
+    return usage.where("tokens > 0").orderBy("tool", "provider", "key_env", F.coalesce("pool", F.lit("")))
+
+
+def usage_statistics(used: Column, limit: Column, enabled: Column) -> Column:
+    """struct(remaining, percent, exhausted): the limit itself and nothing used where limiting is off."""
+    left = F.when(enabled, F.greatest(F.lit(0), limit - used)).otherwise(limit)
+    return F.struct(left.alias("remaining"), F.when(enabled & (limit > 0), 100.0 * used / limit).otherwise(0.0).alias("percent"), (enabled & (used >= limit)).alias("exhausted"))

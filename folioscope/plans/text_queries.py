@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.functions import responses, text
+from folioscope.functions import markup, responses, text
 from folioscope.operators import layout, report
 from folioscope.plans.catalog import query
 from folioscope.plans.tables import table
@@ -115,3 +115,23 @@ def markdown_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = line.dropDuplicates(["item_id", "place"]).select("item_id", "place", F.concat(F.lit("Page "), F.col("place").cast("string")).alias("heading"), F.array(F.lit("a point")).alias("bullets"))
     references = line.dropDuplicates(["item_id"]).select("item_id", F.lit(1).alias("number"), F.lit("Doe (2019)").alias("raw"), F.lit("p. 1").alias("range"), F.lit(None).cast("string").alias("link"))
     return report.markdown(titles, structure, pages, references).select("item_id", F.md5("text").alias("digest"))
+
+
+@query()
+def math_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "documents").select("doc_id", markup.segments(_dirty()).alias("s"))
+    return found.select("doc_id", F.size("s").alias("segments"), F.size(F.filter("s", lambda x: x["kind"] != "text")).alias("math"))
+
+
+@query()
+def simplified_math(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = F.concat(F.lit(r"\text{"), F.left("text", F.lit(30)), F.lit(r"} \lor \left( x \right)"))
+    return table(spark, sf_dir, "documents").select("doc_id", markup.simplified(code).alias("s")).select("doc_id", "s.text", F.size("s.applied").alias("rules"))
+
+
+@query("""SELECT doc_id, count(*) FILTER (trim(line) <> '' AND NOT s) AS prose, count(*) FILTER (s) AS structural FROM (
+  SELECT doc_id, line, starts_with(trim(line), '#') OR starts_with(trim(line), '<page') OR starts_with(trim(line), '[Page') OR starts_with(trim(line), '![') OR starts_with(trim(line), '$$') OR ends_with(trim(line), '$$')
+    OR (starts_with(trim(line), '[') AND contains(line, 'Image:')) OR (starts_with(trim(line), '|') AND ends_with(trim(line), '|')) AS s FROM (SELECT doc_id, unnest(string_split(replace(text, '. ', chr(10) || '# '), chr(10))) AS line FROM documents)) GROUP BY doc_id""")
+def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = layout.line_table(table(spark, sf_dir, "documents").select("doc_id", F.replace(F.col("text"), F.lit(". "), F.lit("\n# ")).alias("text")))
+    return lines.groupBy("doc_id").agg(F.count_if(layout.prose_line(F.col("line"))).alias("prose"), F.count_if(layout.structural_line(F.col("line"))).alias("structural"))

@@ -152,3 +152,22 @@ def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recent_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("key_env").orderBy(F.desc("event_id")))
     return usage_events(spark, sf_dir).withColumn("r", rank).where("r <= 50").groupBy("key_env").agg(F.avg("tokens").alias("recent"))
+
+
+@query("SELECT key, count(*) AS requests, count(*) FILTER (bad) AS errors, avg(value) AS mean_wait FROM (SELECT user_id % 7 AS key, event_id % 5 = 0 AS bad, value FROM events) GROUP BY key")
+def limiter_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("key"), F.when(F.col("event_id") % 5 == 0, "limited").otherwise("ok").alias("outcome"), F.col("value").alias("wait"))
+    return usage.limiter_statistics(asked).drop("error_share")
+
+
+@query("SELECT user_id AS key, max(ts + to_seconds(event_id % 400)) AS until FROM events GROUP BY user_id")
+def lookup_latches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "ts", (F.col("event_id") % 400).alias("retry_after"))
+    return usage.latched_until(marks)
+
+
+@query(f"""WITH {_POOLED}, t AS (SELECT day, cast(sum(tokens) AS bigint) AS used FROM daily GROUP BY day) SELECT day, used, greatest(0, 5000000 - used) AS remaining, 100.0 * used / 5000000 AS percent, used >= 5000000 AS exhausted FROM t""")
+def usage_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = _daily(spark, sf_dir).groupBy("day").agg(F.sum("tokens").alias("used"))
+    found = usage.usage_statistics(F.col("used"), F.lit(5_000_000), F.lit(True))
+    return days.select("day", "used", found["remaining"].alias("remaining"), found["percent"].alias("percent"), found["exhausted"].alias("exhausted"))

@@ -15,6 +15,12 @@ def write_texts(texts: DataFrame, path: str) -> None:
     writer.option("partitionOverwriteMode", "dynamic").option("lineSep", "\n").text(path)
 
 
+def log_header(items: DataFrame, log_type: str, version: int = 2) -> DataFrame:
+    """(item_id, value): first line of each item's log. ``items``: item_id, path, kind, image_count, model_name."""
+    fields = F.struct(F.lit(version).alias("_format_version"), F.lit(log_type).alias("log_type"), F.col("item_id").alias("input_item_name"), F.col("path").alias("input_item_path"), F.col("kind").alias("input_type"), F.col("image_count").alias("total_images"), "model_name")
+    return items.select("item_id", F.to_json(fields).alias("value"))
+
+
 def append_log(entries: DataFrame, path: str) -> None:
     """Entries as JSON lines; late ones are files like any other."""
     entries.write.mode("append").json(path)
