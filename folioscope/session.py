@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_ROOT = Path(__file__).resolve().parent
+
 
 def session(name: str = "folioscope", master: str | None = None, **conf: str) -> SparkSession:
     """UTC, Arrow and adaptive execution on; cluster settings are left to the submitter."""
@@ -13,3 +20,18 @@ def session(name: str = "folioscope", master: str | None = None, **conf: str) ->
     for key, value in {"spark.sql.session.timeZone": "UTC", "spark.sql.execution.arrow.pyspark.enabled": "true", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives Python workers this package, once a context, unless they are local and find it on their own."""
+    context = spark.sparkContext
+    here = str(_ROOT.parent)
+    found = os.getcwd() == here or here in os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if getattr(context, "_folioscope_shipped", False) or context.master.startswith("local") and found:
+        return
+    archive = Path(tempfile.mkdtemp(prefix="folioscope-")) / "folioscope.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(_ROOT.rglob("*.py")):
+            out.write(path, path.relative_to(_ROOT.parent))
+    context.addPyFile(str(archive))
+    context._folioscope_shipped = True
