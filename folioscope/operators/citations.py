@@ -49,11 +49,13 @@ def similar(a: str, b: str, ratio: float = MERGE_RATIO, share: float = MERGE_JAC
     return matcher.real_quick_ratio() >= ratio and matcher.ratio() >= ratio
 
 
-def _merge(block: pd.DataFrame) -> pd.DataFrame:
-    """Each citation, in order of appearance, joins the first similar survivor; the longer text becomes the survivor's."""
-    survivors: list[dict] = []
-    for row in block.sort_values("ord").to_dict("records"):
+def _merge(item: pd.DataFrame) -> pd.DataFrame:
+    """Each citation, in order of appearance, joins the first similar survivor of its block (author and year); the longer text
+    becomes the survivor's."""
+    blocks: dict[tuple, list[dict]] = {}
+    for row in item.sort_values("ord").to_dict("records"):
         row["pages"], row["variants"] = set(row["pages"]), []
+        survivors = blocks.setdefault((row["author"], None if pd.isna(row["year"]) else row["year"]), [])
         other = next((s for s in survivors if not (pd.notna(s["volume"]) and pd.notna(row["volume"]) and s["volume"] != row["volume"]) and similar(row["comparison_text"], s["comparison_text"])), None)
         if other is None:
             survivors.append(row)
@@ -65,15 +67,16 @@ def _merge(block: pd.DataFrame) -> pd.DataFrame:
             other |= {"raw": row["raw"], "year": c.year_of(row["raw"]), "volume": c.volume_of(row["raw"]), "author": c.surname_of(row["raw"]), "comparison_text": c.comparison_of(row["raw"])}
         other["pages"] |= row["pages"]
         other["unnumbered"] = bool(other["unnumbered"] or row["unnumbered"])
-    out = pd.DataFrame(survivors, columns=block.columns.tolist() + ["variants"] * ("variants" not in block.columns))
+    kept = [s for survivors in blocks.values() for s in survivors]
+    out = pd.DataFrame(kept, columns=[*item.columns, "variants"])
     out["pages"] = [sorted(p) for p in out["pages"]]
     return out.astype({"year": "Int32", "volume": "Int32"})
 
 
 def merge_similar(cited: DataFrame) -> DataFrame:
-    """Greedy merge inside blocks of item, author and year. A block is one document's, so its size doesn't grow with the corpus."""
+    """Greedy merge inside blocks of author and year. A group is one document's citations, so its size doesn't grow with the corpus."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cited.schema.fields if f.name != "variants") + ", variants array<string>"
-    return cited.drop("variants").groupBy("item_id", "author", "year").applyInPandas(_merge, schema)
+    return cited.drop("variants").groupBy("item_id").applyInPandas(_merge, schema)
 
 
 def resolve_partials(cited: DataFrame) -> DataFrame:

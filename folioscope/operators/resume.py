@@ -92,5 +92,7 @@ def select_items(items: DataFrame, spec: str, label: str = "label", order: str =
         if low.strip().isdigit() and (not dash or high.strip().isdigit()):
             numbers.update(range(int(low), int(high or low) + 1) if dash else [int(low)])
     if numbers:
-        return items.withColumn("_n", F.row_number().over(Window.orderBy(order))).where(F.col("_n").isin(sorted(numbers))).drop("_n")
+        # no more rows than the largest number asked for are ranked
+        first = items.orderBy(order).limit(max(numbers))
+        return first.withColumn("_n", F.row_number().over(Window.orderBy(order))).where(F.col("_n").isin(sorted(numbers))).drop("_n")
     return items.where(F.contains(F.lower(label), F.lit(spec.strip().lower())))

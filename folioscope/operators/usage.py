@@ -59,10 +59,10 @@ def daily_usage(events: DataFrame) -> DataFrame:
 
 def snapshot(usage: DataFrame) -> DataFrame:
     """Totals of a day at three grains in one pass: all, by tool, by bucket across tools (unattributed left out)."""
-    usage.createOrReplaceTempView("_usage_rows")
-    out = usage.sparkSession.sql("""
-      SELECT day, CASE grouping_id() WHEN 15 THEN 'all' WHEN 7 THEN 'tool' ELSE 'bucket' END AS grain, tool, provider, key_env, pool, sum(tokens) AS tokens
-      FROM _usage_rows GROUP BY GROUPING SETS ((day), (day, tool), (day, provider, key_env, pool))""")
+    keys = ["day", "tool", "provider", "key_env", "pool"]
+    sets = usage.groupingSets([["day"], ["day", "tool"], ["day", "provider", "key_env", "pool"]], *keys)
+    grain = F.when(F.col("_grain") == 15, "all").when(F.col("_grain") == 7, "tool").otherwise("bucket")
+    out = sets.agg(F.grouping_id().alias("_grain"), F.sum("tokens").alias("tokens")).select("day", grain.alias("grain"), *keys[1:], "tokens")
     return out.where("grain <> 'bucket' or (provider is not null and key_env is not null)")
 
 
