@@ -77,9 +77,9 @@ def page_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.size(text.page_markers(marked)).cast("long").alias("markers"), F.get(F.regexp_extract_all("html", F.lit("<title>(.*?)</title>"), 1), F.lit(0)).alias("title"))
 
 
-@query("""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '[page: Empty page ' || left(text, 20) || ']' ELSE text END AS t FROM documents) SELECT doc_id, length(trim(t)) > 0 AND length(trim(t)) < 200 AND regexp_matches(lower(t), 'no transcribable text|transcription not possible|empty page|no transcription possible') AS blank FROM t""")
+@query("""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '[page: Empty page ' || cast(n_chars AS varchar) || ']' ELSE text END AS t FROM documents) SELECT doc_id, length(trim(t)) > 0 AND length(trim(t)) < 200 AND regexp_matches(lower(t), 'no transcribable text|transcription not possible|empty page|no transcription possible') AS blank FROM t""")
 def blank_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("[page: Empty page "), F.left("text", F.lit(20)), F.lit("]"))).otherwise(F.col("text"))
+    marked = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("[page: Empty page "), F.col("n_chars").cast("string"), F.lit("]"))).otherwise(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", text.is_blank_transcription(marked).alias("blank"))
 
 
@@ -91,25 +91,25 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", responses.is_valid(raw, responses.TRANSCRIPTION_KEYS).alias("valid"), F.replace(responses.transcription_text(F.concat(F.lit("```json\n"), raw, F.lit("\n```")), F.lit("p")), F.lit("x```"), F.lit("```")).alias("answer"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, NOT (l_returnflag = 'A' AND l_linestatus = 'F') AS shown FROM lineitem WHERE l_quantity < 10""")
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, NOT (l_returnflag = 'A' AND l_linestatus = 'F') AS shown FROM lineitem""")
 def meaningful_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem").where("l_quantity < 10")
+    line = table(spark, sf_dir, "lineitem")
     blank = (F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "F")
     types = F.array(F.when(blank, "blank").otherwise("content"))
     shown = report.is_meaningful(types, F.array(F.lit("a point")), F.array().cast("array<string>"), F.lit(None).cast("string"))
     return line.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", shown.alias("shown"))
 
 
-@query("""WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS t FROM documents WHERE doc_id < 400), u AS (SELECT doc_id - 1 AS doc_id, t AS u FROM t)
+@query("""WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS t FROM documents), u AS (SELECT doc_id - 1 AS doc_id, t AS u FROM t)
 SELECT doc_id, CASE WHEN len(t) > 0 AND len(u) > 0 THEN len(list_intersect(t, u)) / (len(t) + len(u) - len(list_intersect(t, u))) ELSE 0.0 END AS jaccard FROM t JOIN u USING (doc_id)""")
 def token_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = table(spark, sf_dir, "documents").where("doc_id < 400").select("doc_id", text.token_set(F.lower("text")).alias("t"))
+    tokens = table(spark, sf_dir, "documents").select("doc_id", text.token_set(F.lower("text")).alias("t"))
     return tokens.join(tokens.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("u")), "doc_id").select("doc_id", text.jaccard(F.col("t"), F.col("u")).alias("jaccard"))
 
 
 @query()
 def markdown_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem").where("l_orderkey < 2000").select(F.col("l_orderkey").cast("string").alias("item_id"), F.col("l_linenumber").alias("place"), "l_partkey")
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("item_id"), F.col("l_linenumber").alias("place"), "l_partkey")
     titles = line.groupBy("item_id").agg(F.concat(F.lit("Order "), F.first("item_id")).alias("title"), F.concat(F.count(F.lit(1)).cast("string"), F.lit(" pages")).alias("note"))
     structure = line.select("item_id", F.lit("other").alias("page_type"), F.lit(1).alias("place"), F.lit("p. 1").alias("pages")).distinct()
     pages = line.dropDuplicates(["item_id", "place"]).select("item_id", "place", F.concat(F.lit("Page "), F.col("place").cast("string")).alias("heading"), F.array(F.lit("a point")).alias("bullets"))
@@ -125,7 +125,7 @@ def math_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def simplified_math(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = F.concat(F.lit(r"\text{"), F.left("text", F.lit(30)), F.lit(r"} \lor \left( x \right)"))
+    code = F.concat(F.lit(r"\text{"), F.col("source"), F.lit(r"} \lor \left( x \right)"))
     return table(spark, sf_dir, "documents").select("doc_id", markup.simplified(code).alias("s")).select("doc_id", "s.text", F.size("s.applied").alias("rules"))
 
 
