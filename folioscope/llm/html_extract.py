@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.storage import bound_batches
+
 #: Fixed values of HTML: elements whose start or end ends a block, without content, with raw content.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul video audio canvas object".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -342,6 +344,7 @@ def _extract(keep: tuple[str, ...]):
 
 def extract_pages(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The ``keep`` columns, text and n_chars (code points) of every row."""
+    bound_batches(pages.sparkSession)
     kinds = [(f.name, f.dataType.simpleString()) for f in pages.select(*keep).schema.fields]
     schema = ", ".join(f"`{n}` {k}" for n, k in kinds) + ", text string, n_chars long"
     return pages.select(*keep, F.col("html")).mapInPandas(_extract(keep), schema)

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.shingles import mix
+from folioscope.llm.storage import bound_batches
 
 MODEL, ALPHA, RANK_SHIFT, BYTE_LOG = "piece_bpe_32k.model", 1.0, 3.0, -25.0
 #: Characters whose words are filtered together, at most; bounds the memory of a batch.
@@ -273,4 +274,5 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", seed: int = 17, keep:
 
 def decode_documents(encoded: DataFrame, keep: tuple[str, ...] = ("doc_id",), path: str | None = None) -> DataFrame:
     """The ``keep`` columns and the text of ``ids``."""
+    bound_batches(encoded.sparkSession)
     return encoded.select(*keep, "ids").mapInPandas(_decode(path or default_path(), list(keep)), _schema(encoded, keep) + ", text string")

@@ -20,10 +20,23 @@ def shared_dir(spark: SparkSession) -> str:
     return context._folioscope_shared
 
 
+#: Rows that go to Python in one Arrow batch at most. Texts may be long, and both sides of the pipe hold a batch off heap.
+ARROW_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch size to ``ARROW_ROWS``; a smaller one stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if not 0 < now <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 class Scratch:
     """Tables of one operator call. ``table`` cuts lineage by writing Parquet; ``drop`` frees what no later step reads."""
 
     def __init__(self, spark: SparkSession, name: str):
+        bound_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
