@@ -178,9 +178,13 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = 3, perc
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, links of Jaccard >= percent/100 at ``size``-word shingles."""
     scratch = Scratch(spark, "jaccard")
     kind = "doc_id long, n int, sig binary, uni array<struct<p:int,keys:array<bigint>,rest:array<bigint>>>"
-    rows = scratch.table(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(_sets(size, percent), kind))
-    classes = scratch.table(rows.where("n > 0").dropDuplicates(["sig"]).withColumn("cid", F.monotonically_increasing_id()))
-    edges = scratch.table(_candidate_edges(scratch, classes, percent).where("a != b").distinct())
+    wide = scratch.table(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(_sets(size, percent), kind))
+    ordered = scratch.table(wide.where("n > 0").dropDuplicates(["sig"]).withColumn("cid", F.monotonically_increasing_id()))
+    rows = scratch.table(wide.drop("uni"))
+    scratch.drop(wide)
+    edges = scratch.table(_candidate_edges(scratch, ordered, percent).where("a != b").distinct())
+    classes = scratch.table(ordered.drop("uni"))
+    scratch.drop(ordered)
     member = connected_components(spark, edges).withColumnRenamed("node", "cid")
     members = scratch.table(member.join(classes.select("cid", "doc_id", "sig", "n", F.floor(F.log("n") / math.log(100 / percent)).alias("band")), "cid"))
     count = members.count()
