@@ -20,16 +20,16 @@ def shared_dir(spark: SparkSession) -> str:
     return context._folioscope_shared
 
 
-#: Rows that go to Python in one Arrow batch at most. Texts may be long, and both sides of the pipe hold a batch off heap.
-ARROW_ROWS = 1000
+#: Bytes that go to Python in one Arrow batch, about. Texts may be long, and both sides of the pipe hold a batch off heap.
+ARROW_BYTES = 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batch size to ``ARROW_ROWS``; a smaller one stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if not 0 < now <= ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+    """Lowers the session's Arrow batches to ``ARROW_BYTES``; a smaller limit stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
 
 
 class Scratch:
