@@ -29,7 +29,7 @@ def test_model_is_a_distribution_over_words():
     weights, apm = rng.normal(size=(lm_scoring.GATES, len(lm_scoring.ORDERS) + 1)) * 0.3, rng.uniform(0.1, 0.9, 8 * lm_scoring.APM_CELLS)
     single = [bytes([b]) for b in range(256) if b != 0x20]
     # the first bytes' probabilities: those of one-byte words are of two bytes, so their sum is below one
-    total = (10 ** lm_scoring.spelling_log10(single, table, weights, apm)).sum()
+    total = (10 ** lm_scoring.spelling_log10(single, lm_scoring.stretched(table), weights, apm)).sum()
     assert 0 < total < 1
 
 
