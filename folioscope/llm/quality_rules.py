@@ -39,6 +39,8 @@ NAMES = list(FLOORS)
 BUCKETS = 64
 #: Groups whose estimates are broadcast at most (some 200 bytes each); beyond, they are joined by a shuffle.
 MAX_BROADCAST = 50_000
+#: Files of a table of groups; each file written costs the executor helper processes.
+GROUP_FILES = 8
 Dim = Callable[[DataFrame], DataFrame]
 
 
@@ -131,17 +133,17 @@ def robust_groups(spark: SparkSession, rows: DataFrame, scratch: Scratch) -> tup
     """Location and Cholesky factor of each group of at least ``MIN_GROUP`` rows, by ``STEPS`` concentration steps, and how
     to join such a table: broadcast if there are at most ``MAX_BROADCAST`` groups, so that rows aren't dealt by group."""
     sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("size"), *[F.percentile_approx(a, 0.5, 2000).alias(f"m_{a}") for a in NAMES])
-    middle = scratch.table(sizes.where(F.col("size") >= MIN_GROUP))
+    middle = scratch.table(sizes.where(F.col("size") >= MIN_GROUP).coalesce(GROUP_FILES))
     dim: Dim = F.broadcast if middle.count() <= MAX_BROADCAST else lambda df: df
     near = rows.join(dim(middle), "g")
     spread = near.groupBy("g").agg(*[(F.percentile_approx(F.abs(F.col(a) - F.col(f"m_{a}")), 0.5, 2000) * 1.4826).alias(f"l_{a}") for a in NAMES])
-    start = scratch.table(middle.join(spread, "g"))
+    start = scratch.table(middle.join(spread, "g").coalesce(GROUP_FILES))
     total = F.lit(0.0)
     for a in NAMES:
         total = total + F.pow((F.col(a) - F.col(f"m_{a}")) / F.greatest(F.col(f"l_{a}"), F.lit(FLOORS[a])), 2)
-    stats = scratch.table(_factor(_central(rows.join(dim(start), "g").withColumn("d2", total).select(*rows.columns, "d2"), dim)))
+    stats = scratch.table(_factor(_central(rows.join(dim(start), "g").withColumn("d2", total).select(*rows.columns, "d2"), dim)).coalesce(GROUP_FILES))
     for _ in range(STEPS):
-        stats = scratch.table(_factor(_central(_distance(rows, stats, dim), dim)))
+        stats = scratch.table(_factor(_central(_distance(rows, stats, dim), dim)).coalesce(GROUP_FILES))
     return stats, dim
 
 
