@@ -13,6 +13,8 @@ from folioscope.llm.storage import Scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
+#: Words of a shingle and least Jaccard similarity in percent of the n-gram Jaccard stage (``op6_ngram_jaccard_join`` has 3 and 90).
+SHINGLE, PERCENT = 5, 80
 #: Rejected rows whose ids are broadcast at most (8 bytes each).
 MAX_BROADCAST = 300_000
 
@@ -34,7 +36,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ids = docs.groupBy("doc_id").count().agg(F.count_if((F.col("count") > 1) | F.col("doc_id").isNull()).alias("odd")).first()
     if ids["odd"]:
         docs, key = Scratch(spark, "numbered").table(docs.withColumn("_row", F.monotonically_increasing_id())), "_row"
-    found = jaccard_join.jaccard_components(spark, docs.select(F.col(key).alias("doc_id"), "text"))
+    found = jaccard_join.jaccard_components(spark, docs.select(F.col(key).alias("doc_id"), "text"), SHINGLE, PERCENT)
     gone = Scratch(spark, "gone").table(found.where("doc_id != component_id").select(F.col("doc_id").alias(key)))
     if gone.count() <= MAX_BROADCAST:
         gone = F.broadcast(gone)

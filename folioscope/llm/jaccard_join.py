@@ -33,8 +33,9 @@ from folioscope.llm.components import connected_components
 from folioscope.llm.shingles import mix, shingle_set
 from folioscope.llm.storage import Scratch
 
-#: Sets up to SHORT_TO are ordered by full frequencies, sets from LONG_FROM on by those of one hash in SHARE.
-LONG_FROM, SHORT_TO, SHARE = 64, 72, 4
+#: Sets from LONG_FROM on are ordered by frequencies of one hash in SHARE, sets up to the largest that a shorter one can
+#: link to by full frequencies.
+LONG_FROM, SHARE = 64, 4
 #: Sets and shingles that a tile holds at most, on average; candidate classes whose ids are broadcast at most.
 TILE_SETS, TILE_SHINGLES, MAX_BROADCAST = 256, 150_000, 300_000
 _SHORT, _REST = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -48,7 +49,7 @@ def universes(s: np.ndarray, percent: int) -> list[dict]:
     """What a set sends to be counted: ``keys`` to order by frequency, ``rest`` (already ordered) should they be too few."""
     n = len(s)
     p, out = _prefix_length(n, percent), []
-    if n <= SHORT_TO:
+    if percent * n <= 100 * LONG_FROM:
         out.append({"p": p, "keys": mix(s ^ _SHORT).view(np.int64), "rest": []})
     if n >= LONG_FROM:
         first = s % np.uint64(SHARE) == 0

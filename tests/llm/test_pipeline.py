@@ -28,3 +28,15 @@ def test_deduplicate_with_null_and_repeated_ids(spark):
     assert corpus_pipeline.deduplicate(spark, no_documents(spark), "").count() == 0
     assert corpus_pipeline.rules(spark, no_documents(spark), "").count() == 0
     assert corpus_pipeline.pack(spark, no_documents(spark), "").count() == 0
+
+
+def test_deduplicate_takes_five_words_and_similarity_of_eighty_percent(spark):
+    words = prose(21, 200, 4000).split()
+    near, far = list(words), list(words)
+    near[50:56] = [f"new{i}" for i in range(6)]  # 181 of 211 shingles of five words, 187 of 209 of three words
+    near[120] = "other"
+    for i in range(10, 200, 18):
+        far[i] = "else"
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.deduplicate(spark, docs, "").collect()) == [1, 3]

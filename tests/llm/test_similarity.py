@@ -58,6 +58,17 @@ def test_large_component_is_tiled(spark, monkeypatch):
     check(spark, spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def test_join_at_a_lower_threshold_across_the_orders_of_short_and_long_sets(spark):
+    words = prose(11, 400, 4000).split()
+    rows = [(k, " ".join(words[k * 110 : k * 110 + n])) for k, n in [(0, 66), (1, 67), (2, 62)]]
+    rows += [(10 + k, " ".join(words[k * 110 : k * 110 + n])) for k, n in [(0, 80), (1, 82), (2, 76)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [set(shingle_set(t, 5).tolist()) for _, t in rows]
+    want = dict(zip([i for i, _ in rows], brute_components(sets, [i for i, _ in rows], 80), strict=True))
+    assert want[10] == 0 and want[11] == 1 and want[12] == 2
+    assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(spark, docs, 5, 80).collect()} == want
+
+
 def test_shingles_split_only_at_ascii_space():
     assert len(shingle_set("a\u00a0b c\u2003d", 3)) == 1
     assert len(shingle_set("A b C d", 3)) == 2 and (shingle_set("A b C", 3) == shingle_set("a B c", 3)).all()
