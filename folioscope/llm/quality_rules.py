@@ -7,8 +7,8 @@ rejects a document whose squared Mahalanobis distance exceeds ``CUTOFF``. Scatte
 that a statistic which is constant over most of a group (no symbols, say) doesn't make it singular.
 
 Defined cases: null or blank text has no words and fails the base rule. Null lang or source form groups of their own.
-Groups with fewer than ``MIN_GROUP`` documents that pass the base rule are too small to estimate: the method keeps their
-documents. Repeated rows each get a row and each count. Extra columns are left alone. Empty table: no rows.
+Groups with fewer than ``MIN_GROUP`` documents that pass the base rule are judged by the estimate of their language (all its
+sources), those of a language with fewer by the estimate of all documents, however few. Repeated rows each get a row and each count. Extra columns are left alone. Empty table: no rows.
 All steps are DataFrame expressions. A hot group is reduced by partial aggregates only; the group table is joined, never
 collected, and the h-th smallest distance comes from a histogram of log-distance buckets, not from a sort of the group.
 """
@@ -129,12 +129,25 @@ def _central(rows: DataFrame, dim: Dim) -> DataFrame:
     return inner.groupBy("g").agg(F.count(F.lit(1)).cast("double").alias("n"), *sums)
 
 
-def robust_groups(spark: SparkSession, rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, Dim]:
-    """Location and Cholesky factor of each group of at least ``MIN_GROUP`` rows, by ``STEPS`` concentration steps, and how
-    to join such a table: broadcast if there are at most ``MAX_BROADCAST`` groups, so that rows aren't dealt by group."""
-    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("size"), *[F.percentile_approx(a, 0.5, 2000).alias(f"m_{a}") for a in NAMES])
-    middle = scratch.table(sizes.where(F.col("size") >= MIN_GROUP).coalesce(GROUP_FILES))
-    dim: Dim = F.broadcast if middle.count() <= MAX_BROADCAST else lambda df: df
+def group_levels(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, Dim]:
+    """For each group ``g``: ``at``, the level whose estimate judges it (the group, its language ``l`` or all), and ``feeds``,
+    the levels that its documents are estimated in. Also how to join a table of groups: broadcast if there are at most
+    ``MAX_BROADCAST`` groups, so that rows aren't dealt by group."""
+    groups = scratch.table(rows.groupBy("g", "l").agg(F.count_if(~F.col("base_failed")).alias("size")).coalesce(GROUP_FILES))
+    langs = scratch.table(groups.groupBy("l").agg(F.sum("size").alias("l_size"), F.min("size").alias("least")).coalesce(GROUP_FILES))
+    dim: Dim = F.broadcast if groups.count() <= MAX_BROADCAST else lambda df: df
+    small, small_lang = F.col("size") < MIN_GROUP, F.col("l_size") < MIN_GROUP
+    whole = langs.where(small_lang).limit(1).count() > 0
+    group, lang, every = F.concat(F.lit("g"), "g"), F.concat(F.lit("l"), "l"), F.lit("a")
+    at = F.when(~small, group).when(~small_lang, lang).otherwise(every)
+    feeds = F.array_compact(F.array(F.when(~small, group), F.when((F.col("least") < MIN_GROUP) & ~small_lang, lang), F.when(F.lit(whole), every)))
+    return scratch.table(groups.join(dim(langs), "l").select("g", at.alias("at"), feeds.alias("feeds")).coalesce(GROUP_FILES)), dim
+
+
+def robust_groups(spark: SparkSession, rows: DataFrame, scratch: Scratch, dim: Dim) -> DataFrame:
+    """Location and Cholesky factor of each group, by ``STEPS`` concentration steps."""
+    sizes = rows.groupBy("g").agg(*[F.percentile_approx(a, 0.5, 2000).alias(f"m_{a}") for a in NAMES])
+    middle = scratch.table(sizes.coalesce(GROUP_FILES))
     near = rows.join(dim(middle), "g")
     spread = near.groupBy("g").agg(*[(F.percentile_approx(F.abs(F.col(a) - F.col(f"m_{a}")), 0.5, 2000) * 1.4826).alias(f"l_{a}") for a in NAMES])
     start = scratch.table(middle.join(spread, "g").coalesce(GROUP_FILES))
@@ -144,17 +157,20 @@ def robust_groups(spark: SparkSession, rows: DataFrame, scratch: Scratch) -> tup
     stats = scratch.table(_factor(_central(rows.join(dim(start), "g").withColumn("d2", total).select(*rows.columns, "d2"), dim)).coalesce(GROUP_FILES))
     for _ in range(STEPS):
         stats = scratch.table(_factor(_central(_distance(rows, stats, dim), dim)).coalesce(GROUP_FILES))
-    return stats, dim
+    return stats
 
 
 def judge_quality(spark: SparkSession, docs: DataFrame, cutoff: float = CUTOFF, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns of ``docs`` (text, lang, source and those), the counts, ``base_failed``, ``distance`` (squared; null
-    where the group is too small) and ``kept``."""
+    if no document passes the base rule) and ``kept``."""
     scratch = Scratch(spark, "quality")
-    group = F.concat(F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("-")), F.lit("\u0001"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-")))
-    counted = text_counts(docs.select("text", group.alias("g"), F.struct(*keep).alias("_kept"))).drop("text").withColumn("base_failed", base_failed())
+    lang, source = [F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-")) for c in ("lang", "source")]
+    group = F.concat(lang, F.lit("\u0001"), source)
+    counted = text_counts(docs.select("text", lang.alias("l"), group.alias("g"), F.struct(*keep).alias("_kept"))).drop("text").withColumn("base_failed", base_failed())
     rows = scratch.table(_statistics(counted))
-    stats, dim = robust_groups(spark, rows.where("not base_failed").select("g", *NAMES), scratch)
-    out = _distance(rows, stats, dim)
+    levels, dim = group_levels(rows, scratch)
+    fed = rows.where("not base_failed").select("g", *NAMES).join(dim(levels.select("g", "feeds")), "g").select(F.explode("feeds").alias("g"), *NAMES)
+    stats = robust_groups(spark, fed, scratch, dim)
+    out = _distance(rows.join(dim(levels.select("g", "at")), "g").withColumn("g", F.col("at")).drop("at"), stats, dim)
     kept = ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= cutoff)
     return out.select("_kept.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("d2").alias("distance"), kept.alias("kept"))

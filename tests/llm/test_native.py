@@ -81,3 +81,13 @@ def test_rules_on_messy_and_empty_tables(spark):
     assert out.count() == documents(spark).count() and out.where("kept is null").count() == 0
     assert quality_rules.judge_quality(spark, no_documents(spark)).count() == 0
     assert out.where(F.col("doc_id") == 4).first().base_failed
+
+
+def test_rules_judge_small_groups_by_language_and_then_all(spark):
+    odd = lambda i: " ".join(["ab|cd##$$"] * 3 + [f"a{k}&&&&&&%%%%" for k in range(60)])
+    rows = [(i, prose(i, 60), "en", f"s{i % 8}") for i in range(80)] + [(100 + i, prose(100 + i, 60), "fr", "s") for i in range(5)]
+    rows += [(1000, odd(0), "en", "s3"), (1001, odd(1), "fr", "s"), (1002, odd(2), None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality_rules.judge_quality(spark, docs).collect()}
+    assert len(got) == len(rows) and all(r.distance is not None for r in got.values())
+    assert {i for i, r in got.items() if not r.kept} == {1000, 1001, 1002}
