@@ -33,8 +33,9 @@ MAX_REPEAT_PERCENT = 30
 #: Share of a group that a concentration step keeps, number of steps, factor that makes the scatter of that central share
 #: consistent at the normal distribution (5 dimensions, 0.75), least group, and largest squared distance kept.
 SUPPORT, STEPS, CONSISTENCY, MIN_GROUP, CUTOFF = 0.75, 3, 1.42, 50, 40.0
-#: Least standard deviation of each statistic.
-FLOORS = {"f_word": 0.06, "f_symbol": 0.05, "f_line": 0.20, "f_repeat": 0.20, "f_upper": 0.06}
+#: Least standard deviation of each statistic, small enough that each can reach the cutoff alone: f_line is at most 1, f_repeat
+#: at most sqrt(0.3) past the base rule.
+FLOORS = {"f_word": 0.06, "f_symbol": 0.05, "f_line": 0.15, "f_repeat": 0.085, "f_upper": 0.06}
 NAMES = list(FLOORS)
 BUCKETS = 64
 #: Groups whose estimates are broadcast at most (some 200 bytes each); beyond, they are joined by a shuffle.

@@ -1,4 +1,5 @@
 import collections
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -91,3 +92,17 @@ def test_rules_judge_small_groups_by_language_and_then_all(spark):
     got = {r.doc_id: r for r in quality_rules.judge_quality(spark, docs).collect()}
     assert len(got) == len(rows) and all(r.distance is not None for r in got.values())
     assert {i for i, r in got.items() if not r.kept} == {1000, 1001, 1002}
+
+
+def test_rules_reject_short_repeated_lines_alone(spark):
+    r = random.Random(1)
+    menu = [f"w{i}x{i}" for i in range(8)]
+    rows = [(i, prose(i, 60), "en", "s") for i in range(80)] + [(1000, "\n".join(r.choice(menu) for _ in range(200)), "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality_rules.judge_quality(spark, docs).collect()}
+    assert got.pop(1000) == (False, False) and set(got.values()) == {(False, True)}
+
+
+def test_each_statistic_can_reach_the_cutoff():
+    most = {"f_line": 1.0, "f_repeat": (quality_rules.MAX_REPEAT_PERCENT / 100) ** 0.5}
+    assert all((m / quality_rules.FLOORS[a]) ** 2 > quality_rules.CUTOFF for a, m in most.items())
