@@ -162,13 +162,14 @@ def _starts(rows: DataFrame, scratch: Scratch, dim: Dim) -> DataFrame:
         *[(F.col(f"o_{a}") + F.when(sign, zero).otherwise(F.col(f"m_{a}") * F.col(f"u_{a}"))).alias(f"m_{a}") for a in NAMES],
         *[(F.when(sign, F.lit(float(len(NAMES)))).otherwise(F.lit(1.0)) * F.col(f"c_{i}_{j}") * F.col(f"u_{NAMES[i]}") * F.col(f"u_{NAMES[j]}")).alias(f"c_{i}_{j}") for i, j in _LOWER_HALF],
     )
-    return _factor(mad.unionByName(back))
+    # written before and after: the planner's constraints grow exponentially over unwritten chains of these columns
+    return scratch.table(_factor(scratch.table(mad.unionByName(back).coalesce(GROUP_FILES))).coalesce(GROUP_FILES))
 
 
 def robust_groups(spark: SparkSession, rows: DataFrame, scratch: Scratch, dim: Dim) -> DataFrame:
     """Location, Cholesky factor and log-determinant of each group's minimum covariance determinant estimate."""
     stats = scratch.table(_concentrate(rows, _starts(rows, scratch, dim), dim).coalesce(GROUP_FILES))
-    stats = _concentrate(rows, stats, dim)
+    stats = scratch.table(_concentrate(rows, stats, dim).coalesce(GROUP_FILES))
     best = stats.groupBy("g").agg(F.min_by(F.struct(*[c for c in stats.columns if c != "g"]), F.struct("logdet", "s")).alias("x"))
     stats = scratch.table(best.select("g", "x.*").coalesce(GROUP_FILES))
     for _ in range(STEPS):
