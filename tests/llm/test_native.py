@@ -2,9 +2,11 @@ import collections
 import random
 import re
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from folioscope.llm import components, quality_rules, url_filter
+from folioscope.llm import components, quality_rules, storage, url_filter
 from tests.llm.cases import documents, no_documents, prose
 
 
@@ -103,6 +105,99 @@ def test_rules_reject_short_repeated_lines_alone(spark):
     assert got.pop(1000) == (False, False) and set(got.values()) == {(False, True)}
 
 
-def test_each_statistic_can_reach_the_cutoff():
-    most = {"f_line": 1.0, "f_repeat": (quality_rules.MAX_REPEAT_PERCENT / 100) ** 0.5}
-    assert all((m / quality_rules.FLOORS[a]) ** 2 > quality_rules.CUTOFF for a, m in most.items())
+ODD = {
+    "f_word": lambda t: t.replace("w", "wwwwwwwwwwww"),
+    "f_upper": str.upper,
+    "f_symbol": lambda t: t.replace(" w", " #w"),
+    "f_line": lambda t: t + "\nso\n" + "and so on\n" * 9,
+    "f_mark": lambda t: t.replace(" w", ", w"),
+}
+
+
+def test_each_statistic_can_reach_the_cutoff(spark):
+    assert set(ODD) == set(quality_rules.NAMES)
+    rows = [(i, plain(i), "en", "s") for i in range(200)] + [(1000 + k, change(plain(1000 + k)), "en", "s") for k, change in enumerate(ODD.values())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality_rules.judge_quality(spark, docs).collect()}
+    assert {name: got.pop(1000 + k) for k, name in enumerate(ODD)} == dict.fromkeys(ODD, (False, False))
+    assert set(got.values()) == {(False, True)}
+
+
+def plain(seed, words=150):
+    r = random.Random(seed)
+    out = []
+    for k in range(words):
+        word = f"w{r.randrange(10 ** r.randint(1, 6))}"
+        out.append((word.capitalize() if r.random() < 0.1 else word) + ("." if r.random() < 0.1 else "") + ("\n" if r.random() < 0.08 else ""))
+    return " ".join(out)
+
+
+def brute_mcd(x, starts=200, seed=0):
+    """Squared distances by the subset of least determinant over many random starts, each concentrated to the end."""
+    rng, h, floor = np.random.default_rng(seed), int(np.ceil(quality_rules.SUPPORT * len(x))), np.diag([f**2 for f in quality_rules.FLOORS.values()])
+    best = None
+    for _ in range(starts):
+        own = x[rng.choice(len(x), x.shape[1] + 1, replace=False)]
+        before = None
+        while True:
+            scatter = quality_rules.CONSISTENCY * np.cov(own.T, bias=True) + floor
+            z = x - own.mean(axis=0)
+            d2 = np.einsum("ij,jk,ik->i", z, np.linalg.inv(scatter), z)
+            inner = np.sort(np.argsort(d2, kind="stable")[:h])
+            if before is not None and (inner == before).all():
+                break
+            before, own = inner, x[inner]
+        size = np.linalg.slogdet(scatter)[1]
+        if best is None or size < best[0]:
+            best = (size, d2)
+    return best
+
+
+def test_estimate_matches_brute_force_and_decides(spark):
+    rows = [(i, plain(i), "en", "s") for i in range(300)] + [(1000 + k, ODD["f_mark"](ODD["f_upper"](plain(k))), "en", "s") for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    counted = quality_rules._statistics(quality_rules.text_counts(docs))
+    table = {r.doc_id: [r[a] for a in quality_rules.NAMES] for r in counted.collect()}
+    ids = sorted(table)
+    x = np.array([table[i] for i in ids])
+    _, want = brute_mcd(x)
+    got = {r.doc_id: r for r in quality_rules.judge_quality(spark, docs).collect()}
+    d2 = np.array([got[i].distance for i in ids])
+    assert [got[i].kept for i in ids] == (want <= quality_rules.CUTOFF).tolist()
+    clean = np.array(ids) < 1000
+    assert 0.7 < np.median(d2[clean] / want[clean]) < 1.4 and 3 < np.median(d2[clean]) < 6
+    floors = np.array([quality_rules.FLOORS[a] for a in quality_rules.NAMES])
+    alone = (((x - np.median(x, axis=0)) / floors) ** 2).sum(axis=1)  # the floors without the estimate
+    assert ((alone <= quality_rules.CUTOFF) != (d2 <= quality_rules.CUTOFF)).sum() > 30
+
+
+def test_groups_on_either_side_of_the_least_size(spark):
+    n = quality_rules.MIN_GROUP
+    rows = [(1000 * g + i, plain(1000 * g + i), "en", f"s{g}") for g, size in enumerate([n - 2, n - 1, n]) for i in range(size)]
+    rows += [(9000 + g, ODD["f_upper"](plain(9000 + g)), "en", f"s{g}") for g in (0, 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality_rules.judge_quality(spark, docs).collect()}
+    assert len(got) == len(rows) and all(r.distance is not None for r in got.values())
+    assert {i for i, r in got.items() if not r.kept} == {9000, 9001, 9002}
+
+
+def test_longest_rule_wins_alike_among_few_and_many(spark):
+    pages = spark.createDataFrame([(1, "http://x.a.com/bcd", None), (2, "http://x.b.com/q", None)], "page_id int, url string, html string")
+    rules = [("block", "a.com", "/bcd"), ("allow", "x.a.com", "/b"), ("block", "b.com", "/q"), ("block", "x.b.com", "/")]
+    show = lambda r: sorted((x.page_id, x.rule, x.verdict) for x in url_filter.filter_urls(spark, pages, r).collect())
+    few = show(rules)
+    assert few == show(rules + [("block", f"none{i}.org", "/") for i in range(250)]) == [(1, "x.a.com/b", "allow"), (2, "x.b.com/", "block")]
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        storage.shared_dir(Session())
