@@ -4,7 +4,7 @@ Every vector is described by the ``DEPTH`` nearest of ``P`` reference points, in
 per label and pair of pivots, so that a list holds the vectors whose shared-pivot count is two at least. Candidates are
 verified by cosine in double precision.
 
-The reference points are rows of smallest hash, a bounded sample (``MAX_PIVOTS`` at most, twice the square root of the
+Vectors of each dimension have reference points and lists of their own. The points are rows of smallest hash, a bounded sample (``MAX_PIVOTS`` at most, twice the square root of the
 table below that). A row whose cosine to a chosen point reaches ``APART`` is passed over, so that a dense group doesn't
 supply the points that should tell its members' surroundings, and fixed random directions fill the rest. Every row is
 indexed. Lists of one member are dropped before vectors are sent. A list longer than a
@@ -12,8 +12,8 @@ tile is split; each pair of tiles is a unit of work, so a hot list spreads over
 of its links it counted, and a spanning forest of them: rows are in proportion to the members, never to the pairs. A pair
 that meets in several lists is counted in the one of its two smallest shared pivots only.
 
-Defined cases: null label, null, empty or zero vector, null or non-finite component, or another dimension than the pivots':
-no links. Repeated ids are distinct vectors; their links count, and their component is shared by id. A null id is linked
+Defined cases: null label, null, empty or zero vector, null or non-finite component: no links. Vectors of different
+dimensions don't link; a dimension that the sample misses is indexed by random directions. Repeated ids are distinct vectors; their links count, and their component is shared by id. A null id is linked
 like any other row and is never a component's smallest unless it is alone (null). Extra columns are ignored. Empty table:
 no rows.
 """
@@ -45,21 +45,25 @@ def _usable(raw: list) -> list[np.ndarray | None]:
     return out
 
 
-def _describe(pivots: np.ndarray):
-    """Keeps usable rows: row, label, unit vector as bytes, nearest pivots in order."""
+def _describe(pivots: dict[int, np.ndarray], want: int):
+    """Keeps usable rows: row, label (after the dimension), unit vector as bytes, nearest pivots in order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             vectors = _usable(batch["embedding"].tolist())
-            good = [i for i, v in enumerate(vectors) if v is not None and len(v) == pivots.shape[1]]
-            out = batch.iloc[good][["row", "label"]].copy()
-            x = np.array([vectors[i] for i in good]).reshape(-1, pivots.shape[1])
-            x = x / np.abs(x).max(axis=1, initial=0, keepdims=True) if len(good) else x
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            nearest = np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :DEPTH]
-            out["v"] = [r.tobytes() for r in x]
-            out["near"] = [r.astype(np.int32) for r in nearest]
-            yield out
+            for size in sorted({len(v) for v in vectors if v is not None}):
+                if size not in pivots:
+                    pivots[size] = _directions(size, want)
+                good = [i for i, v in enumerate(vectors) if v is not None and len(v) == size]
+                out = batch.iloc[good][["row", "label"]].copy()
+                x = np.array([vectors[i] for i in good])
+                x = x / np.abs(x).max(axis=1, keepdims=True)
+                x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                nearest = np.argsort(-(x @ pivots[size].T), axis=1, kind="stable")[:, :DEPTH]
+                out["label"] = f"{size}|" + out["label"]
+                out["v"] = [r.tobytes() for r in x]
+                out["near"] = [r.astype(np.int32) for r in nearest]
+                yield out
 
     return run
 
@@ -138,26 +142,27 @@ def _count_links(threshold: float):
     return run
 
 
-def choose_pivots(vectors: DataFrame, total: int) -> np.ndarray:
-    """Reference points as unit vectors, of the commonest dimension in the sample."""
-    want = int(min(MAX_PIVOTS, max(MIN_PIVOTS, 2 * total**0.5)))
+def _directions(size: int, n: int) -> np.ndarray:
+    """``n`` random unit vectors, the same on every machine."""
+    found = np.random.default_rng(0).normal(size=(n, size))
+    return found / np.linalg.norm(found, axis=1, keepdims=True)
+
+
+def choose_pivots(vectors: DataFrame, want: int) -> dict[int, np.ndarray]:
+    """``want`` reference points as unit vectors for each dimension in the sample."""
     sample = vectors.where("embedding is not null and label is not null").select("embedding", F.xxhash64("embedding", "row").alias("h")).orderBy("h").limit(2 * want)
     found = [v for v in _usable([list(r[0]) for r in sample.collect()]) if v is not None]
-    if not found:
-        return np.zeros((0, 1))
-    sizes = [len(v) for v in found]
-    common = max(sorted(set(sizes)), key=sizes.count)
-    if common < 2:
-        return np.array([[1.0], [-1.0]])[:, :common]
-    rows = np.array([v / np.abs(v).max() for v in found if len(v) == common])
-    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
-    chosen, near = [], np.full(len(rows), -1.0)
-    for k in range(len(rows)):
-        if near[k] < APART and len(chosen) < want:
-            chosen.append(rows[k])
-            near = np.maximum(near, rows @ rows[k])
-    fill = np.random.default_rng(0).normal(size=(want - len(chosen), common))
-    return np.concatenate([np.array(chosen), fill / np.linalg.norm(fill, axis=1, keepdims=True)])
+    out = {}
+    for size in sorted({len(v) for v in found}):
+        rows = np.array([v / np.abs(v).max() for v in found if len(v) == size])
+        rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+        chosen, near = [], np.full(len(rows), -1.0)
+        for k in range(len(rows)):
+            if near[k] < APART and len(chosen) < want:
+                chosen.append(rows[k])
+                near = np.maximum(near, rows @ rows[k])
+        out[size] = np.concatenate([np.array(chosen), _directions(size, want - len(chosen))])
+    return out
 
 
 def _units(postings: DataFrame) -> DataFrame:
@@ -167,7 +172,8 @@ def _units(postings: DataFrame) -> DataFrame:
     one = live.where(F.col("m") <= TILE)
     many = live.where(F.col("m") > TILE).withColumn("tiles", F.ceil(F.col("m") / TILE).cast("int"))
     many = many.withColumn("tile", F.pmod(F.xxhash64("row"), F.col("tiles")).cast("int"))
-    lots = F.concat(F.lit("s"), F.pmod(F.xxhash64("label", "p", "q"), F.lit(4096)).cast("string"))
+    size = F.substring_index("label", "|", 1)  # a unit holds vectors of one dimension
+    lots = F.concat(F.lit("s"), size, F.lit(":"), F.pmod(F.xxhash64("label", "p", "q"), F.lit(4096)).cast("string"))
     few = one.select("row", "p", "q", lots.alias("unit"), F.struct("label", "p", "q").alias("part"), F.lit(0).alias("side"))
     tile = F.col("tile")
     name = lambda j: F.concat_ws(":", "label", "p", "q", F.least(tile, j), F.greatest(tile, j))
@@ -181,23 +187,26 @@ def near_duplicates(spark: SparkSession, embeddings: DataFrame, threshold: float
     scratch = Scratch(spark, "pivots")
     base = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
     rows = scratch.table(base.withColumn("row", F.monotonically_increasing_id()))
-    pivots = choose_pivots(rows, rows.count())
-    if len(pivots) < 2:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    described = scratch.table(rows.where("label is not null and embedding is not null").select("row", "label", "embedding").mapInPandas(_describe(pivots), "row long, label string, v binary, near array<int>"))
-    depth = min(DEPTH, len(pivots))
+    want = int(min(MAX_PIVOTS, max(MIN_PIVOTS, 2 * rows.count() ** 0.5)))
+    pivots = choose_pivots(rows, want)
+    described = scratch.table(rows.where("label is not null and embedding is not null").select("row", "label", "embedding").mapInPandas(_describe(pivots, want), "row long, label string, v binary, near array<int>"))
     sorted_near = F.array_sort("near")
-    pairs = F.array(*[F.struct(sorted_near[i].alias("p"), sorted_near[j].alias("q")) for i, j in combinations(range(depth), 2)])
+    pairs = F.array(*[F.struct(sorted_near[i].alias("p"), sorted_near[j].alias("q")) for i, j in combinations(range(DEPTH), 2)])
     postings = described.select("row", "label", F.explode(pairs).alias("x")).select("row", "label", "x.p", "x.q")
     units = _units(postings).join(described.select("row", "v", "near"), "row")
     found = scratch.table(units.groupBy("unit").applyInPandas(_count_links(threshold), "a long, b long, n long"))
     degree = found.where("b < 0").groupBy(F.col("a").alias("row")).agg(F.sum("n").alias("n_links"))
     ids = rows.select("row", "vec_id")
     edges = found.where("b >= 0").select("a", "b").distinct()
-    # components run over rows; rows of one id are tied together afterwards by the id itself
+    # components run over rows; where rows of one id fall into several, those are tied by the id
     member = connected_components(spark, edges)
     low = member.join(ids, member["node"] == ids["row"]).groupBy("component").agg(F.min("vec_id").alias("component_id"))
     by_row = member.join(low, "component").select(F.col("node").alias("row"), "component_id")
-    out = ids.join(degree, "row", "left").join(by_row, "row", "left")
-    component = F.coalesce("component_id", "vec_id")
+    out = ids.join(degree, "row", "left").join(by_row, "row", "left").select("vec_id", "n_links", F.coalesce("component_id", "vec_id").alias("component_id"))
+    own = out.groupBy("vec_id").agg(F.min("component_id").alias("a"), F.max("component_id").alias("b")).where("a != b").select("vec_id", "a")
+    split = scratch.table(out.join(own, "vec_id").where("component_id != a").select("a", F.col("component_id").alias("b")).distinct())
+    if not split.isEmpty():
+        tied = connected_components(spark, split).select(F.col("node").alias("component_id"), F.col("component").alias("_tied"))
+        out = out.join(tied, "component_id", "left").withColumn("component_id", F.coalesce("_tied", "component_id"))
+    component = F.col("component_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))

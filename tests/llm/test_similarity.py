@@ -116,3 +116,13 @@ def test_hot_list_is_tiled_without_double_counts(spark, monkeypatch):
 def test_vectors_of_nothing(spark):
     assert pivot_index.near_duplicates(spark, vectors(spark, [])).count() == 0
     assert pivot_index.near_duplicates(spark, vectors(spark, [(1, None, 1), (None, [1.0], 2)])).count() == 2
+
+
+def test_vectors_of_every_dimension_link_and_rows_of_one_id_share_a_component(spark):
+    x = [float((7 * k) % 11 - 5) for k in range(4)]
+    far = [1.0, 0.0, -2.0, 5.0]
+    rows = [(k, [1.0 + k, k * k - 3.0, 2.0 - k, 1.0], "a") for k in range(100, 130)]
+    rows += [(1, x, "b"), (5, x, "b"), (5, far, "b"), (9, far, "b"), (20, [1.0, 2.0, 3.0], "b"), (21, [2.0, 4.0, 6.0], "b"), (22, [3.0], "b"), (23, [7.0], "b"), (24, [-7.0], "b"), (25, [1.0, 2.0, 3.0], "c")]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = sorted(tuple(r) for r in pivot_index.near_duplicates(spark, table).where("vec_id < 100").collect())
+    assert got == [(1, 1, 1, True), (5, 1, 1, False), (5, 1, 1, False), (9, 1, 1, False), (20, 1, 20, True), (21, 1, 20, False), (22, 1, 22, True), (23, 1, 22, False), (24, 0, 24, True), (25, 0, 25, True)]
