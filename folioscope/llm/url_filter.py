@@ -1,7 +1,7 @@
 """Operator 1, URL filters [native]: host/path rules, carried to aliases over redirect and canonical-link edges.
 
 A rule ``(action, host, path)`` fits its host and all subdomains when the url's path starts with the rule's path; the
-longest rule wins, and of two rules of equal text the allowing one. Urls are nodes; redirect and canonical links are
+longest rule wins (code points of host and path); of several as long an allowing one, then the greatest text. Urls are nodes; redirect and canonical links are
 undirected edges. A url with a rule of its own keeps that rule's action. Any other url takes ``block`` when its connected
 component holds a blocked url and no explicitly allowed one (explicit allow precedes), else ``allow``.
 
@@ -47,7 +47,8 @@ def key_of(url: Column) -> Column:
 
 
 def _ordered(rules: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
-    return sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2], r[0] != "allow"))
+    """Those that win first; ``match_rules`` orders joined rules alike."""
+    return sorted(sorted(rules, key=lambda r: r[1] + r[2], reverse=True), key=lambda r: (-len(r[1] + r[2]), r[0] != "allow"))
 
 
 def rule_columns(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
