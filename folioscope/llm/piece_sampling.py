@@ -189,8 +189,9 @@ class Lattices:
         return who[order], edges[order]
 
 
-def row_seed(key: int | None, text: str, seed: int) -> int:
-    own = f"k{int(key)}" if key is not None and key == key else "t" + text
+def row_seed(key: int | str | None, text: str, seed: int) -> int:
+    """Seed of a row by its key, a number or a string; by its text without a key."""
+    own = "t" + text if key is None or key != key else "s" + key if isinstance(key, str) else f"k{int(key)}"
     return xxhash.xxh3_64_intdigest(own.encode("utf-8", "surrogatepass"), seed)
 
 

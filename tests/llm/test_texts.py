@@ -119,6 +119,14 @@ def test_pieces_are_lossless_and_reproducible(spark):
     assert piece_sampling.encode_documents(no_documents(spark)).count() == 0
 
 
+def test_pieces_are_keyed_by_strings_too(spark):
+    text = "several readers considered the translation of ordinary sentences " * 5  # words of many segmentations
+    docs = spark.createDataFrame([("a/b", text), ("a/c", text), (None, text), ("", None)], "path string, text string")
+    got = piece_sampling.encode_documents(docs, key="path", keep=("path",)).collect()
+    assert all(r.lossless for r in got) and len({bytes(r.ids) for r in got}) == 4
+    assert sorted(bytes(r.ids) for r in got) == sorted(bytes(r.ids) for r in piece_sampling.encode_documents(docs, key="path", keep=("path",)).collect())
+
+
 def test_pieces_follow_the_lattice_distribution():
     known, n = piece_sampling.vocabulary(piece_sampling.default_path()), 20_000
     weight = {known.text[i]: (i, w) for _, ids, logs, _ in known.by_length.values() for i, w in zip(ids.tolist(), logs.tolist(), strict=True)}
