@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a fresh local folder only where it is unset (tests, local mode)."""
+    """``spark.checkpoint.dir`` of the session; a fresh local folder where it is unset and the master is local, else an error:
+    the machines of a cluster don't share their folders."""
     context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if path:
         return path.rstrip("/")
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
     if not getattr(context, "_folioscope_shared", None):
         context._folioscope_shared = "file://" + tempfile.mkdtemp(prefix="folioscope-")
         context.setCheckpointDir(context._folioscope_shared)
