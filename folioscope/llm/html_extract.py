@@ -8,7 +8,7 @@ source side are the text, in page order, one line each. Blocks in elements that
 forms, comments, hidden parts ...) are pinned to the sink.
 
 Defined cases: null or empty html, or no content block, gives an empty text. Truncated pages and unclosed elements are read
-to the end; an unclosed script hides the rest. Repeated rows each get a row. Extra columns are ignored unless named in
+to the end; an unclosed script, style, template, text field or frame hides the rest, other unclosed elements nothing. Repeated rows each get a row. Extra columns are ignored unless named in
 ``keep``. Empty table: no rows. Work on a page is linear in its length but for the flow, whose graph has two edges a block.
 """
 
@@ -29,12 +29,18 @@ from folioscope.llm.storage import bound_batches
 #: Fixed values of HTML: elements whose start or end ends a block, without content, with raw content.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul video audio canvas object".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "svg", "math", "template", "object", "canvas", "audio", "video")
+RAW = ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "svg", "template", "object", "canvas", "audio", "video")
+#: Raw only up to their end tag; without one, the page goes on.
+IF_CLOSED = frozenset("svg object canvas audio video".split())
 #: Elements and roles that never hold the article's text, and words of class or id that name such parts.
-NEVER = frozenset("nav footer aside form head title dialog menu button select option noscript iframe label search".split())
+NEVER = frozenset("nav footer aside form head title dialog menu button select option noscript iframe label search annotation annotation-xml".split())
 NEVER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 NEVER_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense banner banners sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr notice notices newsletter subscribe subscription signup sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist disqus respond reply replies share sharing social related recommended recommendations widget widgets popup modal overlay login register search toolbar topbar header pagination pager masthead skip alert disclaimer copyright".split())
 CONTENT_WORDS = frozenset("article content post entry story body text main maincontent prose paragraph".split())
+#: Words of parts that stay boilerplate beside a content word (post-comments, content-sidebar), and of names that only tell
+#: that a part is there or not (content no-sidebar).
+ALWAYS_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr newsletter subscribe subscription signup sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist disqus respond reply replies responses reviews share sharing social related recommended recommendations pagination pager toolbar topbar".split())
+PRESENCE_WORDS = frozenset("no not with without has is".split())
 #: An unclosed element of the left ends where one of the right starts.
 CLOSES = {"p": BLOCK - {"html", "body"}, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option", "optgroup"]), "head": frozenset(["body"])}
 
@@ -51,13 +57,15 @@ NEIGHBOUR, SIBLING = 0.6, 0.9
 
 
 class Element:
-    __slots__ = ("depth", "drop", "good", "name", "parent")
+    __slots__ = ("depth", "drop", "good", "header", "inside", "name", "parent")
 
     def __init__(self, name: str, parent: Element | None, attributes: str):
         self.name, self.parent, self.depth = name, parent, parent.depth + 1 if parent else 0
         self.drop = bool(parent and parent.drop) or name in NEVER
         self.good = bool(parent and parent.good)
-        inside = parent is not None and within(parent, ("article", "main"))
+        inside = bool(parent and parent.inside)
+        self.inside = inside or name in ("article", "main")
+        self.header = bool(parent and parent.header) or name == "header"
         if name == "header" and not inside:
             self.drop = True
         if attributes and "=" in attributes or " hidden" in attributes.lower():
@@ -67,22 +75,15 @@ class Element:
                     self.drop = True
                 elif key in ("class", "id", "itemprop") and name not in ("html", "body"):
                     for token in value.split():
-                        words = [w.lower() for w in _WORD.findall(token)]
-                        if name not in ("article", "main") and (set(words) & NEVER_WORDS or token.lower() in NEVER_WORDS):
-                            self.drop = self.drop or not (set(words) & CONTENT_WORDS)
-                        self.good = self.good or bool(set(words) & CONTENT_WORDS)
+                        words = {w.lower() for w in _WORD.findall(token)} | {token.lower()}
+                        content = bool(words & CONTENT_WORDS)
+                        if name not in ("article", "main") and not words & PRESENCE_WORDS:
+                            self.drop = self.drop or bool(words & ALWAYS_WORDS) or bool(words & NEVER_WORDS) and not content
+                        self.good = self.good or content
                 elif key == "role" and value.lower() in ("main", "article"):
                     self.good = True
 
 
-def within(element: Element | None, names: tuple[str, ...]) -> bool:
-    while element is not None:
-        if element.name in names:
-            return True
-        element = element.parent
-    return False
-
-
 class Block:
     __slots__ = ("chars", "element", "linked", "parts")
 
@@ -90,11 +91,20 @@ class Block:
         self.element, self.parts, self.chars, self.linked = element, [], 0, 0
 
 
+def _end_tag(name: str, page: str, at: int, unclosed: set[str]) -> re.Match | None:
+    """The next end tag of the name; a name that has none left is looked for once."""
+    found = None if name in unclosed else re.compile(f"</{re.escape(name)}(?=[\\s/>])[^>]*>?", re.I).search(page, at)
+    if found is None:
+        unclosed.add(name)
+    return found
+
+
 def read_blocks(page: str) -> list[tuple[str, Block]]:
     """(text, block) of every block with text, in page order."""
     root = top = Element("#page", None, "")
     out: list[tuple[str, Block]] = []
     block, at, links = Block(top), 0, 0
+    unclosed: set[str] = set()
 
     def add(raw: str) -> None:
         if raw:
@@ -151,7 +161,9 @@ def read_blocks(page: str) -> list[tuple[str, Block]]:
             continue
         attributes = found[3] or found[6] or ""
         if name in RAW and not attributes.endswith("/"):
-            end = re.compile(f"</{name}(?=[\\s/>])[^>]*>?", re.I).search(page, at)
+            end = _end_tag(name, page, at, unclosed)
+            if end is None and name in IF_CLOSED:
+                continue
             at = end.end() if end else size
             if name in BLOCK:
                 close()
@@ -183,7 +195,7 @@ def read_blocks(page: str) -> list[tuple[str, Block]]:
             close()
         if top.drop and name not in BLOCK:
             # a dropped inline element hides its own text only
-            end = re.compile(f"</{name}(?=[\\s/>])[^>]*>?", re.I).search(page, at)
+            end = _end_tag(name, page, at, unclosed)
             if end:
                 at = end.end()
                 links -= name == "a"
@@ -200,11 +212,11 @@ def log_odds(text: str, block: Block) -> float:
     w = WEIGHTS
     z = w["bias"] + w["log_chars"] * math.log1p(len(text)) + w["links"] * block.linked / max(block.chars, 1)
     z += w["marks"] * min(1.0, 12.0 * len(_MARKS.findall(text)) / max(len(text), 12))
-    if within(element, ("article", "main")):
+    if element.inside:
         z += w["article"]
     if element.good:
         z += w["class"]
-    if within(element, ("header",)):
+    if element.header:
         z += w["header"]
     nearest = element
     while nearest is not None and nearest.name not in BLOCK:

@@ -1,3 +1,5 @@
+import time
+
 from folioscope.llm import html_extract as h
 from tests.llm.cases import prose
 
@@ -59,3 +61,25 @@ def test_rows_of_a_table(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>Hi there.</p></article>", "z"), (None, None, None, "z"), (1, "u", "", "z")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in h.extract_pages(pages).collect()) == [(0, "", 0), (1, "", 0), (1, "Hi there.", 9)]
     assert h.extract_pages(pages.limit(0)).count() == 0
+
+
+def test_boilerplate_beside_content_words():
+    names = "post-comments article-comments content-sidebar main-menu main-nav entry-footer article-related post-share text-ad reviews reader-responses comment-body".split()
+    for name in names:
+        part = f"<div class='{name}'><p>Some other sentence, that isn't of the story. It goes on.</p></div>"
+        assert h.extract_text(PAGE.format(f"<article>{STORY}{part}</article>", "side")) == WANT, name
+        assert h.extract_text(PAGE.format(f"<article>{STORY}</article>{part}", "side")) == WANT, name
+    for name in ("content no-sidebar", "post-content has-comments", "article-header"):
+        assert h.extract_text(PAGE.format(f"<article><div class='{name}'>{STORY}</div></article>", "side")) == WANT, name
+
+
+def test_unclosed_media_and_formulas_keep_the_text():
+    for name in ("video", "object", "canvas", "svg", "audio", "math"):
+        assert h.extract_text(f"<article><p>One sentence, here.</p><div><{name}></div><p>Two sentences, here.</p></article>") == "One sentence, here.\nTwo sentences, here.", name
+    assert h.extract_text("<article><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds, it is said.</p></article>") == "So x=1 holds, it is said."
+
+
+def test_deep_pages_take_linear_time():
+    start = time.process_time()
+    assert h.extract_text("<article>" + "<div>" * 60_000 + "<p>The one sentence, far below.</p>") == "The one sentence, far below."
+    assert time.process_time() - start < 20
