@@ -202,7 +202,7 @@ def near_duplicates(spark: SparkSession, embeddings: DataFrame, threshold: float
     member = connected_components(spark, edges)
     low = member.join(ids, member["node"] == ids["row"]).groupBy("component").agg(F.min("vec_id").alias("component_id"))
     by_row = member.join(low, "component").select(F.col("node").alias("row"), "component_id")
-    out = ids.join(degree, "row", "left").join(by_row, "row", "left").select("vec_id", "n_links", F.coalesce("component_id", "vec_id").alias("component_id"))
+    out = scratch.table(ids.join(degree, "row", "left").join(by_row, "row", "left").select("vec_id", "n_links", F.coalesce("component_id", "vec_id").alias("component_id")))
     own = out.groupBy("vec_id").agg(F.min("component_id").alias("a"), F.max("component_id").alias("b")).where("a != b").select("vec_id", "a")
     split = scratch.table(out.join(own, "vec_id").where("component_id != a").select("a", F.col("component_id").alias("b")).distinct())
     if not split.isEmpty():
