@@ -70,9 +70,10 @@ def structure_range(numbers: Column, kinds_roman: Column) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """Orderable array: digit runs padded, text lower-cased, so that ``p2`` precedes ``p10``."""
+    """Orderable array: digit runs led by their length without zeros, text lower-cased, so that ``p2`` precedes ``p10``."""
     parts = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), 1)
-    return F.transform(parts, lambda x: F.when(x.rlike(r"^\d"), F.lpad(x, 20, "0")).otherwise(x))
+    digits = lambda x: F.regexp_replace(x, "^0+", "")
+    return F.transform(parts, lambda x: F.when(x.rlike(r"^\d"), F.concat(F.lpad(F.length(digits(x)).cast("string"), 10, "0"), digits(x))).otherwise(x))
 
 
 def sequence_number(stem: Column) -> Column:

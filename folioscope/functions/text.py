@@ -130,19 +130,19 @@ def keeps_hyphen(left: Column, right: Column) -> Column:
     lower = last.rlike(r"\p{Ll}") & first.rlike(r"\p{Ll}")
     capitals = (left == F.upper(left)) & (right == F.upper(right)) & left.rlike(r"\p{Lu}") & right.rlike(r"\p{Lu}")
     prefix = F.lower(F.regexp_extract(left, "([A-Za-z]+)$", 1)).isin(KEPT_PREFIXES)
-    return ~letters | (~lower & ~capitals) | prefix
+    return ~letters | F.when(lower, prefix).otherwise(~capitals)
 
 
 def merge_hyphens(text: Column) -> Column:
     """Joins words that a line break hyphenated, unless the hyphen is the word's own.
 
-    The three conditions of ``keeps_hyphen`` are one pattern here: both sides lower case, or both fragments capitals, and no
-    kept prefix as the whole last ASCII word of the left.
+    One pattern takes every hyphenated break from left to right, as a joined pair of lower case (no kept prefix as the last
+    ASCII word of the left), a joined pair of capitals, or a pair that stays.
     """
     kept = "|".join(KEPT_PREFIXES)
-    lower = rf"(?U)(?<!\w)((?!(?:[^A-Za-z\s]*)(?i:{kept})-)\w{{2,}}\p{{Ll}})-\n(?=\p{{Ll}}\w)"
-    upper = rf"(?U)(?<!\w)((?!(?i:{kept})-)\p{{Lu}}{{3,}})-\n(?=\p{{Lu}}{{2,}}(?!\w))"
-    return F.regexp_replace(F.regexp_replace(text, lower, "$1"), upper, "$1")
+    lower = rf"(\w{{2,}}\p{{Ll}})(?<!(?<![A-Za-z])(?i:{kept}))-\n(\p{{Ll}}\w+)"
+    upper = r"([\w&&[^\p{Ll}\p{Lt}]]{2,}\p{Lu})-\n(\p{Lu}[\w&&[^\p{Ll}\p{Lt}]]+)(?!\w)"
+    return F.regexp_replace(text, rf"(?U){lower}|{upper}|(\w{{3,}}-\n\w{{2,}})", "$1$2$3$4$5")
 
 
 # The ordered rest, in Python
@@ -181,11 +181,12 @@ def balance_sides(text: str) -> str:
         if not lack:
             return block[0]
         if lack > 0:
-            at = max((m.start() for m in re.finditer(r"\\end\{[^}]*\}", body)), default=len(body.rstrip()))
+            closing = re.search(r"\\end\{[^}]*\}", body)
+            at = closing.start() if closing else len(body)
             body = body[:at] + r"\right." * lack + body[at:]
         else:
             opening = re.search(r"\\begin\{[^}]*\}", body)
-            at = opening.end() if opening else len(body) - len(body.lstrip())
+            at = opening.end() if opening else 0
             body = body[:at] + r"\left." * -lack + body[at:]
         return f"$${body}$$"
 
@@ -217,8 +218,9 @@ def close_braces(line: str) -> str:
             depth += 1
         elif c == "}":
             orphans, depth = (orphans + 1, depth) if not depth else (orphans, depth - 1)
-    while orphans and line.lstrip().startswith("}"):
-        line, orphans = line.lstrip()[1:], orphans - 1
+    if orphans:
+        indent, leading = re.match(r"(\s*)(}*)", line).groups()
+        line = indent + line[len(indent) + min(orphans, len(leading)) :]
     return line.rstrip() + "}" * depth if depth else line
 
 
@@ -235,10 +237,9 @@ def fix_math(text: str) -> str:
 def keep_hyphen(left: str, right: str) -> bool:
     if not (left[-1:].isalpha() and right[:1].isalpha()):
         return True
-    if not (left[-1].islower() and right[0].islower()) and not (left.isupper() and right.isupper()):
-        return True
-    word = re.search(r"[A-Za-z]+$", left)
-    return bool(word) and word[0].lower() in KEPT_PREFIXES
+    if left[-1].islower() and right[0].islower():
+        return re.split(r"[^A-Za-z]", left)[-1].lower() in KEPT_PREFIXES
+    return not (left.isupper() and right.isupper())
 
 
 def merge_hyphenation(text: str) -> str:
@@ -251,7 +252,10 @@ def normalize_whitespace(text: str, config: CleaningConfig = CleaningConfig()) -
         line = line.rstrip(" ")
         if config.collapse_spaces:
             line = re.sub(r"(?<=\S) {3,}(?=\S)", "  ", line)
-        run = 0 if line.strip() else run + 1
+        if line.strip():
+            run = 0
+        else:
+            line, run = "", run + 1
         if run <= config.max_blank_lines:
             out.append(line)
     return "\n".join(out) + "\n"

@@ -21,7 +21,11 @@ CITATION = "item_id string, key string, raw string, pages array<int>, unnumbered
 
 def describe_mentions(mentions: DataFrame) -> DataFrame:
     """Adds key, comparison_text, year, volume and author to mentions (item_id, ord, page, raw, is_partial)."""
-    return mentions.where("trim(raw) <> ''").withColumn("_d", c.describe("raw")).select("*", "_d.*").drop("_d")
+    raw = F.col("raw")
+    fields = {"_folded": c.fold(c.mark_titles(raw)), "_names": c.fold_all(c.name_tokens(raw)), "year": c.year(raw), "volume": c.volume(raw)}
+    out = mentions.where("trim(raw) <> ''").withColumns(fields)
+    out = out.withColumns({"comparison_text": c.comparison_text(F.col("_folded")), "author": c.first_author(F.col("_names"))})
+    return out.withColumn("key", c.key(F.col("comparison_text"), F.col("year"), F.col("volume"))).drop("_folded", "_names")
 
 
 def aggregate_mentions(described: DataFrame) -> DataFrame:
@@ -64,7 +68,7 @@ def _merge(item: pd.DataFrame) -> pd.DataFrame:
             other["variants"].append(row["raw"])
         if len(row["raw"]) > len(other["raw"]):
             other["variants"].append(other["raw"])
-            other |= {"raw": row["raw"], "year": c.year_of(row["raw"]), "volume": c.volume_of(row["raw"]), "author": c.surname_of(row["raw"]), "comparison_text": c.comparison_of(row["raw"])}
+            other |= {n: row[n] for n in ("raw", "year", "volume", "author", "comparison_text")}
         other["pages"] |= row["pages"]
         other["unnumbered"] = bool(other["unnumbered"] or row["unnumbered"])
     kept = [s for survivors in blocks.values() for s in survivors]
@@ -114,12 +118,21 @@ def bibliography(cited: DataFrame) -> DataFrame:
 
 
 def verified(text: Column, cited_year: Column, title: Column, found_year: Column, authors: Column) -> Column:
-    """Whether a looked-up work is the cited one: years at most 2 apart, half of the title's tokens and two at least, and a year within 1 or an author's surname."""
-    mine, theirs = token_set(c.fold_ascii(text)), token_set(c.fold_ascii(title))
+    """Whether a looked-up work is the cited one.
+
+    Of the title only words of four characters and more count. With two or more of them, two at least and half of them must
+    be in the citation; a title of one such word must be a quoted or italic title there. Known years are at most 2 apart;
+    besides, the years are at most 1 apart or an author's last name is in the citation.
+    """
+    mine, folded = token_set(c.fold(text)), F.trim(c.fold(title))
+    theirs = F.filter(token_set(folded), lambda w: F.length(w) > 3)
     both = F.size(F.array_intersect(mine, theirs))
+    spans = F.transform(c.fold_all(c.title_spans(text)), lambda x: F.trim(x))
+    titled = F.when(F.size(theirs) == 1, F.array_contains(spans, folded)).otherwise((both >= 2) & (both >= 0.5 * F.size(theirs)))
     apart = F.abs(cited_year - found_year)
-    named = F.exists(authors, lambda a: F.array_contains(mine, F.lower(F.element_at(F.split(a, " "), -1))))
-    return F.coalesce(apart <= 2, F.lit(True)) & (both >= 2) & (both >= 0.5 * F.size(theirs)) & (F.coalesce(apart <= 1, F.lit(False)) | F.coalesce(named, F.lit(False)))
+    named = F.arrays_overlap(mine, F.transform(c.fold_all(authors), lambda a: F.regexp_extract(a, r"(\S+)\s*$", 1)))
+    near = F.coalesce(apart <= 1, F.lit(False)) | F.coalesce(named, F.lit(False))
+    return F.coalesce(titled, F.lit(False)) & F.coalesce(apart <= 2, F.lit(True)) & near
 
 
 def lookup_works(cited: DataFrame, works: DataFrame, max_misses: int | None = None) -> DataFrame:

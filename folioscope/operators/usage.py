@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Limiter factors, penalty, threshold and ceiling; first estimate and weight of the moving average.
@@ -96,17 +100,40 @@ def pool_statistics(usage: DataFrame, caps: DataFrame, defaults: DataFrame) -> D
     return joined.select("day", "provider", "key_env", "pool", "used", cap.alias("cap"), F.when(cap.isNotNull(), F.greatest(cap - F.col("used"), F.lit(0))).alias("remaining"), F.when(cap > 0, 100.0 * F.col("used") / cap).alias("percent"))
 
 
-def admit(requests: DataFrame, limit: int, used: int = 0) -> DataFrame:
-    """Admits requests (day, seq, bucket, estimate, cap) in order until the day's budget or their bucket's cap is passed.
+def admit(requests: DataFrame, limit: int, used: int = 0, scope: str = "all", pool_caps: bool = True) -> DataFrame:
+    """Admits requests (day, seq, bucket, estimate, cap and, if present, pooled) in order, as reservations are made.
 
-    Gates are prefix sums: what earlier requests asked for counts whether or not they were let in, so the cut is the first
-    refusal. A null cap is no cap.
+    Only what is admitted is reserved: a request that doesn't fit leaves room for a smaller one after it. The day's budget
+    binds every request with ``scope="all"``; with ``"pooled"`` it binds requests without a bucket and those of a pool. A
+    null cap is no cap, a null estimate is 0; without a column ``pooled`` every bucket is a pool's. Each decision needs
+    those before it in its day, so a day is one sorted stream that is read in batches; what is held is one sum a bucket.
     """
-    whole = Window.partitionBy("day").orderBy("seq")
-    own = Window.partitionBy("day", "bucket").orderBy("seq")
-    fits_all = F.sum("estimate").over(whole) <= F.lit(limit - used)
-    fits_own = F.col("cap").isNull() | (F.sum("estimate").over(own) <= F.col("cap"))
-    return requests.withColumns({"fits_budget": fits_all, "fits_pool": fits_own}).withColumn("admitted", F.col("fits_budget") & F.col("fits_pool"))
+    if scope not in ("all", "pooled"):
+        raise ValueError(f"scope is all or pooled, not {scope}")
+    room = limit - used
+    has_pooled = "pooled" in requests.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        day, total, own = None, 0, {}
+        for batch in batches:
+            days, buckets, estimates, caps = (batch.column(n).to_pylist() for n in ("day", "bucket", "estimate", "cap"))
+            pools = batch.column("pooled").to_pylist() if has_pooled else [True] * len(days)
+            gates: list[tuple[bool, bool]] = []
+            for this, bucket, estimate, cap, pooled in zip(days, buckets, estimates, caps, pools, strict=True):
+                if this != day:
+                    day, total, own = this, 0, {}
+                estimate = estimate or 0
+                free = scope == "pooled" and bucket is not None and not pooled
+                gate = free or total + estimate <= room, not pool_caps or not pooled or cap is None or own.get(bucket, 0) + estimate <= cap
+                if all(gate):
+                    total += estimate
+                    own[bucket] = own.get(bucket, 0) + estimate
+                gates.append(gate)
+            more = [pa.array([a for a, _ in gates], pa.bool_()), pa.array([b for _, b in gates], pa.bool_()), pa.array([a and b for a, b in gates], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "fits_budget", "fits_pool", "admitted"])
+
+    schema = T.StructType([*requests.schema.fields, *(T.StructField(n, T.BooleanType()) for n in ("fits_budget", "fits_pool", "admitted"))])
+    return requests.repartition("day").sortWithinPartitions("day", "seq").mapInArrow(run, schema)
 
 
 def moving_estimate(samples: DataFrame, by: list[str], order: str, value: str, first: float = FIRST_ESTIMATE, weight: float = NEWEST_WEIGHT) -> DataFrame:

@@ -17,11 +17,7 @@ _RANGES = """ranges AS (SELECT item_id, key, string_agg(CASE WHEN a = b THEN cas
 
 
 def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mentions with keys by JVM expressions alone (ASCII data, no publishers' words)."""
-    text = F.trim(F.regexp_replace(F.regexp_replace(c.fold_ascii(F.col("raw")), "[,.:;()*]", " "), r"\s+", " "))
-    out = mentions(spark, sf_dir).withColumns({"comparison_text": text, "year": c.year(F.col("raw")), "volume": c.volume(F.col("raw")), "author": c.first_author(F.col("raw"))})
-    shown = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("None"))
-    return out.withColumn("key", F.md5(F.concat("comparison_text", F.lit("|y="), shown("year"), F.lit("|v="), shown("volume"))))
+    return citations.describe_mentions(mentions(spark, sf_dir))
 
 
 @query(f"WITH {MENTIONS_SQL} SELECT ord, key, year, volume FROM with_key")
@@ -95,12 +91,14 @@ def identifier_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return citations.merge_identical(cited).select("item_id", "ord", F.size("pages").cast("long").alias("n_pages"))
 
 
-@query("""WITH w AS (SELECT p_partkey, 'Notes on ' || p_name || ' Handbuch' AS text, 1990 + p_size % 5 AS y, 'On ' || p_name AS title, 1990 + p_partkey % 9 AS fy FROM part),
-t AS (SELECT *, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS mine, list_distinct(regexp_extract_all(lower(title), '[a-z0-9]{2,}')) AS theirs FROM w)
-SELECT p_partkey, abs(y - fy) <= 2 AND len(list_intersect(mine, theirs)) >= 2 AND len(list_intersect(mine, theirs)) >= 0.5 * len(theirs) AND abs(y - fy) <= 1 AS ok FROM t""")
+@query("""WITH w AS (SELECT p_partkey, 'Notes on ' || p_name || ' Handbuch, *Nations*' AS text, 1990 + p_size % 5 AS y, CASE WHEN p_partkey % 5 = 0 THEN 'Nations' WHEN p_partkey % 5 = 1 THEN 'The Notes' ELSE 'On the ' || p_name END AS title, 1990 + p_partkey % 9 AS fy, CASE WHEN p_partkey % 3 = 0 THEN 'Händ Bùch' ELSE 'X Handbuch' END AS author FROM part),
+t AS (SELECT *, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS mine, list_distinct(regexp_extract_all(lower(title), '[a-z0-9]{4,}')) AS theirs FROM w)
+SELECT p_partkey, abs(y - fy) <= 2 AND (abs(y - fy) <= 1 OR author = 'X Handbuch') AND CASE len(theirs) WHEN 0 THEN false WHEN 1 THEN title = 'Nations' ELSE len(list_intersect(mine, theirs)) >= 2 AND 2 * len(list_intersect(mine, theirs)) >= len(theirs) END AS ok FROM t""")
 def work_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
-    ok = citations.verified(F.concat(F.lit("Notes on "), F.col("p_name"), F.lit(" Handbuch")), 1990 + F.col("p_size") % 5, F.concat(F.lit("On "), F.col("p_name")), 1990 + F.col("p_partkey") % 9, F.array(F.lit("A Nonymous")))
+    part, k = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), F.col("p_partkey")
+    title = F.when(k % 5 == 0, "Nations").when(k % 5 == 1, "The Notes").otherwise(F.concat(F.lit("On the "), F.col("p_name")))
+    author = F.when(k % 3 == 0, "Händ Bùch").otherwise("X Handbuch")
+    ok = citations.verified(F.concat(F.lit("Notes on "), F.col("p_name"), F.lit(" Handbuch, *Nations*")), 1990 + F.col("p_size") % 5, title, 1990 + k % 9, F.array(author))
     return part.select("p_partkey", ok.alias("ok"))
 
 

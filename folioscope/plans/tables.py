@@ -53,17 +53,17 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     joined = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(part.select("p_partkey", "p_name", "p_size"), F.col("o_orderkey") % 50 == F.col("p_partkey"))
     name = F.when(F.col("o_orderkey") % 3 == 0, F.upper("p_name")).otherwise(F.col("p_name"))
-    raw = F.concat(F.lit("Author"), (F.col("o_custkey") % 7).cast("string"), F.lit(" ("), F.year("o_orderdate").cast("string"), F.lit("). *"), name, F.lit("*, vol. "), F.col("p_size").cast("string"), F.when(F.col("o_orderkey") % 2 == 0, " & more.").otherwise(" and more"))
+    raw = F.concat(F.lit("Author"), (F.col("o_custkey") % 7).cast("string"), F.lit(" ("), F.year("o_orderdate").cast("string"), F.lit("). *"), name, F.lit("*, vol. "), F.col("p_size").cast("string"), F.when(F.col("o_orderkey") % 2 == 0, "&more.").otherwise(" and more"), F.when(F.col("o_orderkey") % 5 == 0, " (Oxford University Press, pp. 12-34)").when(F.col("o_orderkey") % 5 == 1, " Génin").otherwise(""))
     return joined.select(F.col("o_custkey").cast("string").alias("item_id"), F.col("o_orderkey").alias("ord"), F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderkey") % 40 + 1).cast("int").alias("page"), raw.alias("raw"), (F.col("o_orderkey") % 4 == 0).alias("is_partial"))
 
 
 MENTIONS_SQL = """mentions_in AS (
   SELECT cast(o_custkey AS varchar) AS item_id, o_orderkey AS ord, CASE WHEN o_orderkey % 11 <> 0 THEN cast(o_orderkey % 40 + 1 AS integer) END AS page,
-    'Author' || cast(o_custkey % 7 AS varchar) || ' (' || cast(year(o_orderdate) AS varchar) || '). *' || CASE WHEN o_orderkey % 3 = 0 THEN upper(p_name) ELSE p_name END || '*, vol. ' || cast(p_size AS varchar) || CASE WHEN o_orderkey % 2 = 0 THEN ' & more.' ELSE ' and more' END AS raw,
+    'Author' || cast(o_custkey % 7 AS varchar) || ' (' || cast(year(o_orderdate) AS varchar) || '). *' || CASE WHEN o_orderkey % 3 = 0 THEN upper(p_name) ELSE p_name END || '*, vol. ' || cast(p_size AS varchar) || CASE WHEN o_orderkey % 2 = 0 THEN '&more.' ELSE ' and more' END || CASE o_orderkey % 5 WHEN 0 THEN ' (Oxford University Press, pp. 12-34)' WHEN 1 THEN ' Génin' ELSE '' END AS raw,
     o_orderkey % 4 = 0 AS is_partial
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN part ON o_orderkey % 50 = p_partkey
 ), keyed AS (
-  SELECT *, trim(regexp_replace(regexp_replace(replace(lower(raw), '&', 'and'), '[,.:;()*]', ' ', 'g'), '\\s+', ' ', 'g')) AS comparison_text, cast(regexp_extract(raw, '\\((\\d{4})\\)', 1) AS integer) AS year, cast(regexp_extract(raw, 'vol\\. (\\d+)', 1) AS integer) AS volume FROM mentions_in
+  SELECT *, trim(regexp_replace(regexp_replace(replace(replace(strip_accents(lower(replace(raw, ' (Oxford University Press, pp. 12-34)', ''))), '&', ' and '), '*', ' * '), '[,.:;()]', ' ', 'g'), '\\s+', ' ', 'g')) AS comparison_text, cast(regexp_extract(raw, '\\((\\d{4})\\)', 1) AS integer) AS year, cast(regexp_extract(raw, 'vol\\. (\\d+)', 1) AS integer) AS volume FROM mentions_in
 ), with_key AS (SELECT *, md5(comparison_text || '|y=' || coalesce(cast(year AS varchar), 'None') || '|v=' || coalesce(cast(volume AS varchar), 'None')) AS key FROM keyed
 )"""
 

@@ -54,13 +54,19 @@ def pool_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.pool_statistics(_daily(spark, sf_dir), caps, defaults)
 
 
-@query(f"""WITH {_POOLED}, b AS (SELECT {_TEXT_DAY} AS day, event_id AS seq, CASE WHEN provider IS NULL THEN 'unattributed' ELSE provider || '|' || key_env || '|' || coalesce(pool, '') END AS bucket, tokens AS estimate, CASE WHEN provider = 'openai' THEN 400000 END AS cap FROM pooled)
-SELECT seq, bucket, sum(estimate) OVER (PARTITION BY day ORDER BY seq) <= 5000000 AS fits_budget, cap IS NULL OR sum(estimate) OVER (PARTITION BY day, bucket ORDER BY seq) <= cap AS fits_pool,
-  sum(estimate) OVER (PARTITION BY day ORDER BY seq) <= 5000000 AND (cap IS NULL OR sum(estimate) OVER (PARTITION BY day, bucket ORDER BY seq) <= cap) AS admitted FROM b""")
+@query(f"""WITH RECURSIVE {_POOLED}, b AS (SELECT {_TEXT_DAY} AS day, event_id AS seq, CASE WHEN provider IS NULL THEN 'unattributed' ELSE provider || '|' || key_env || '|' || coalesce(pool, '') END AS bucket, tokens AS estimate, CASE WHEN provider = 'openai' THEN 100000 END AS cap FROM pooled),
+n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY day ORDER BY seq) AS i FROM b),
+walk AS (
+  SELECT DISTINCT day, cast(0 AS bigint) AS i, cast(NULL AS bigint) AS seq, cast(NULL AS varchar) AS bucket, cast(0 AS bigint) AS total, cast(MAP {{}} AS MAP(varchar, bigint)) AS own, false AS fits_budget, false AS fits_pool FROM b
+  UNION ALL
+  SELECT day, i, seq, bucket, CASE WHEN fb AND fp THEN total + estimate ELSE total END, CASE WHEN fb AND fp THEN map_concat(own, MAP {{bucket: mine + estimate}}) ELSE own END, fb, fp FROM (
+    SELECT *, total + estimate <= 1000000 AS fb, cap IS NULL OR mine + estimate <= cap AS fp FROM (
+      SELECT n.day, n.i, n.seq, n.bucket, n.estimate, n.cap, w.total, w.own, coalesce(w.own[n.bucket], 0) AS mine FROM walk w JOIN n ON n.day = w.day AND n.i = w.i + 1)))
+SELECT seq, bucket, fits_budget, fits_pool, fits_budget AND fits_pool AS admitted FROM walk WHERE i > 0""")
 def admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _pooled(spark, sf_dir)
-    asked = e.select(usage.budget_day(F.col("ts")).alias("day"), F.col("event_id").alias("seq"), usage.bucket(F.col("provider"), F.col("key_env"), F.col("pool")).alias("bucket"), F.col("tokens").alias("estimate"), F.when(F.col("provider") == "openai", 400_000).alias("cap"))
-    return usage.admit(asked, 5_000_000).select("seq", "bucket", "fits_budget", "fits_pool", "admitted")
+    asked = e.select(usage.budget_day(F.col("ts")).alias("day"), F.col("event_id").alias("seq"), usage.bucket(F.col("provider"), F.col("key_env"), F.col("pool")).alias("bucket"), F.col("tokens").alias("estimate"), F.when(F.col("provider") == "openai", 100_000).alias("cap"))
+    return usage.admit(asked, 1_000_000).select("seq", "bucket", "fits_budget", "fits_pool", "admitted")
 
 
 @query(f"WITH {USAGE_SQL} SELECT key_env, cast(floor(list_reduce(list_prepend(25000.0::double, list(cast(tokens AS double) ORDER BY event_id)), lambda a, x: 0.3 * x + (1 - 0.3) * a)) AS bigint) AS estimate, count(*) AS n FROM usage_in WHERE tokens > 0 GROUP BY key_env")

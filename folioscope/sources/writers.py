@@ -27,15 +27,22 @@ def append_log(entries: DataFrame, path: str) -> None:
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Writes beside the target, then renames, so that a failed job leaves the old table."""
+    """Writes beside the target, moves the old table away, the new one to its place, then deletes the old one.
+
+    A failed job leaves the old table; a failed rename puts it back and raises.
+    """
     spark = df.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
     df.write.parquet(beside)
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(beside)
+    old, new, away = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, beside, f"{beside}.old"))
     system = new.getFileSystem(conf)
-    system.delete(old, True)
-    system.rename(new, old)
+    if system.exists(old) and not system.rename(old, away):
+        raise OSError(f"can't move {path} away; the new table is {beside}")
+    if not system.rename(new, old):
+        system.rename(away, old)
+        raise OSError(f"can't move {beside} to {path}, which is as it was")
+    system.delete(away, True)
 
 
 def run_summary(items: DataFrame) -> DataFrame:

@@ -38,12 +38,18 @@ def test_braces_balance():
     assert fixed.count("{") == fixed.count("}")
 
 
-@pytest.mark.parametrize(("raw", "want"), [("demon-\nstration", "demonstration"), ("concep-\ntion", "conception"), ("Manage-\nment", "Management"), ("Jean-\nBaptiste", "Jean-\nBaptiste"), ("co-\nordinating", "co-\nordinating"), ("self-\nevident", "self-\nevident"), ("a-\ntest", "a-\ntest"), ("conép-\ntion", "conéption"), ("KNOWL-\nEDGE", "KNOWLEDGE")])
+@pytest.mark.parametrize(("raw", "want"), [("demon-\nstration", "demonstration"), ("concep-\ntion", "conception"), ("Manage-\nment", "Management"), ("Jean-\nBaptiste", "Jean-\nBaptiste"), ("co-\nordinating", "co-\nordinating"), ("self-\nevident", "self-\nevident"), ("a-\ntest", "a-\ntest"), ("conép-\ntion", "conéption"), ("KNOWL-\nEDGE", "KNOWLEDGE"), ("NON-\nLINEAR", "NONLINEAR"), ("éco-\nordinate", "éco-\nordinate"), ("aéco-\nop", "aéco-\nop"), ("xxco-\nop", "xxcoop"), ("abc-\ndefg-\nhij", "abcdefg-\nhij"), ("non-\nlinear-\nfoo", "non-\nlinear-\nfoo"), ("abCDE-\nFGH", "abCDE-\nFGH")])
 def test_hyphens(spark, raw, want):
     assert text.merge_hyphenation(raw) == want
     assert spark.createDataFrame([(raw,)], "t string").select(text.merge_hyphens(F.col("t"))).first()[0] == want
 
 
+def test_leading_braces_and_sides():
+    assert text.close_braces("  }x") == "  x" and text.close_braces("}}{a}") == "{a}" and text.close_braces(r"\\{a") == r"\\{a}"
+    assert text.balance_sides(r"$$ \left( x $$") == r"$$ \left( x \right.$$" and text.balance_sides(r"$$ x \right) $$") == r"$$\left. x \right) $$"
+    assert text.balance_sides(r"$$\left(\end{a}b\end{c}$$") == r"$$\left(\right.\end{a}b\end{c}$$"
+
+
 def test_keep_policy(spark):
     pairs = [("KNOWL", "EDGE", False), ("page", "42", True), ("self", "evident", True), ("demon", "stration", False), ("Jean", "Baptiste", True)]
     df = spark.createDataFrame(pairs, "l string, r string, k boolean")
@@ -54,6 +60,7 @@ def test_keep_policy(spark):
 def test_whitespace():
     assert text.normalize_whitespace("line1\n\n\n\n\n\nline2") == "line1\n\n\nline2\n"
     assert text.normalize_whitespace("a    b  ") == "a  b\n" and text.normalize_whitespace("a\tb") == "a  b\n"
+    assert text.normalize_whitespace("a\n\u00a0\nb") == "a\n\nb\n"
     assert text.auto_width("aaaa\nbbbb\ncccc") == 20 and text.auto_width("x") == 80
     assert text.wrap_lines("aa bb cc dd", 5) == "aa bb\ncc dd" and text.wrap_lines("# aa bb cc", 5) == "# aa bb cc"
 

@@ -30,6 +30,16 @@ def test_days_and_reset(spark):
 def test_caps_and_admission(spark):
     asked = spark.createDataFrame([("d", 1, "a", 600, 1000), ("d", 2, "a", 400, 1000), ("d", 3, "a", 1, 1000), ("d", 4, "b", 5, 1000), ("d", 5, "c", 9999, None)], "day string, seq int, bucket string, estimate int, cap int")
     assert [r.admitted for r in usage.admit(asked, 5000).orderBy("seq").collect()] == [True, True, False, True, False]
+    # a large request that is refused leaves room for a small one, and a day begins anew
+    later = spark.createDataFrame([("d", 1, "a", 6000, None), ("d", 2, "a", 4000, None), ("d", 3, "b", 1001, None), ("d", 4, "b", 1000, None), ("e", 1, "b", 5000, None), ("e", 2, "b", None, None)], "day string, seq int, bucket string, estimate int, cap int")
+    assert [r.admitted for r in usage.admit(later, 5000).orderBy("day", "seq").collect()] == [False, True, False, True, True, True]
+    # scope: unpooled buckets are free of the day's budget, unstamped requests aren't; caps can be off
+    scoped = spark.createDataFrame([("d", 1, "a", 900, 500, True), ("d", 2, "free", 9000, 1, False), ("d", 3, None, 200, None, False), ("d", 4, "a", 500, 500, True)], "day string, seq int, bucket string, estimate int, cap int, pooled boolean")
+    run = lambda **more: [r.admitted for r in usage.admit(scoped, 1000, **more).orderBy("seq").collect()]
+    assert run() == [False, False, True, True]
+    assert run(scope="pooled") == [False, True, False, False]
+    assert run(scope="pooled", pool_caps=False) == [True, True, False, False]
+    assert usage.admit(scoped.limit(0), 1000).collect() == []
 
 
 def test_bucket_round_trip(spark):
