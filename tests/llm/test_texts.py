@@ -152,3 +152,49 @@ def test_licences_and_inheritance(spark):
     got = {r.doc_id: (r.licence, r.origin) for r in license_scan.scan_licences(spark, docs, F.col("p")).collect()}
     assert got == {0: ("MIT", "own"), 1: ("MIT", "inherited"), 2: ("Apache-2.0", "own"), 3: ("GPL-3.0", "own"), 4: ("GPL-3.0", "inherited"), 5: (None, "none"), 6: (None, "none"), 7: (None, "none"), 8: ("MIT", "inherited")}
     assert license_scan.scan_licences(spark, docs.limit(0), F.col("p")).count() == 0
+
+
+def plain_cosine(line, template, weight, other):
+    """TF-IDF cosine from its definition."""
+    a, b = collections.Counter(license_scan.words(line)), collections.Counter(license_scan.words(template))
+    w = lambda t: weight.get(t, other)
+    dot = sum(a[t] * b[t] * w(t) ** 2 for t in a.keys() & b.keys())
+    return dot / math.sqrt(sum((n * w(t)) ** 2 for t, n in a.items()) * sum((n * w(t)) ** 2 for t, n in b.items()))
+
+
+def test_versions_and_variants_rule_templates_out():
+    vocabulary = license_scan._vocabulary(license_scan.TEMPLATES)
+    common = {w: 1.5 for w in "the of this is a to under license version public and or in".split()}
+    weight = {w: common.get(w, 1.0 if w[0].isdigit() else 6.0) for w in vocabulary}
+    matcher = license_scan.Matcher(license_scan.TEMPLATES, weight, 9.0)
+    gpl = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version {} of the License, or\n(at your option) any later version."
+    want = {
+        "GNU General Public License, version 2": "GPL-2.0", "Licensed under the GNU GPL version 7": None, "SPDX-License-Identifier: GPL-2.0": "GPL-2.0", "SPDX-License-Identifier: BSD-2-Clause": "BSD-2-Clause", "SPDX-License-Identifier: Foo-1.0": None,
+        "GNU Lesser General Public License, version 2.1": "LGPL-2.1", "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0", "Licensed under CC BY 4.0.": "CC-BY-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0",
+        "This work is licensed under a Creative Commons Attribution 2.5 License.": None, "Released under the BSD License.": None, "CC0 1.0 Universal": "CC0-1.0", "This is free and unencumbered software released into the public domain.": "Unlicense",
+        gpl.format(2): "GPL-2.0", gpl.format(3): "GPL-3.0", gpl.format(3).replace("General", "Affero General"): "AGPL-3.0", f"words before\n\n{gpl.format(2)}\n\nwords after": "GPL-2.0", "": None, "mit der Lizenz": None,
+        "Released under the MIT License.\nReleased under the MIT License.": "MIT",
+    }
+    assert {t: matcher.scan(t)[0] for t in want} == want
+
+
+def test_every_template_finds_its_licence_and_cosines_follow_the_definition():
+    vocabulary = license_scan._vocabulary(license_scan.TEMPLATES)
+    weight = {w: 1.0 + zlib.crc32(w.encode()) % 700 / 100 for w in vocabulary}
+    matcher = license_scan.Matcher(license_scan.TEMPLATES, weight, 9.0)
+    assert len(license_scan.TEMPLATES) >= 30
+    for name, lines in license_scan.TEMPLATES.items():
+        for line in lines:
+            found, cosine, share = matcher.scan(line)
+            assert (found, share) == (name, 1.0) and abs(cosine - 1) < 1e-6, line
+    for line in ("Copyright 2020 Somebody. Licensed under the Apache License, Version 2.0.", "This file is released under the terms of the MIT License", "see the GNU General Public License version 3 for more"):
+        fit = [t for lines in license_scan.TEMPLATES.values() for t in lines if {w for w in license_scan.words(t) if w in license_scan.DECISIVE or w[0].isdigit()} <= set(license_scan.words(line))]
+        assert abs(matcher.best(collections.Counter(license_scan.words(line)))[0] - max(plain_cosine(line, t, weight, 9.0) for t in fit)) < 1e-6
+
+
+def test_long_texts_and_ties_of_licences(spark):
+    body = "\n".join(prose(i, 400) for i in range(60))
+    rows = [("p/a.txt", f"{body}\nReleased under the MIT License.\n{body}"), ("p/b.txt", "Released under the MIT License.\n\nLicensed under the Apache License, Version 2.0."), ("p/c.txt", "x " * 50_000)]
+    docs = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(rows)], "doc_id int, p string, text string")
+    got = {r.doc_id: (r.own_licence, r.is_licence_file, r.licence) for r in license_scan.scan_licences(spark, docs, F.col("p")).collect()}
+    assert got == {0: ("MIT", False, "MIT"), 1: ("Apache-2.0", True, "Apache-2.0"), 2: (None, False, "Apache-2.0")}
