@@ -2,9 +2,8 @@
 
 1. Every text becomes its set of distinct shingles (64-bit hashes). Equal sets form one class (copies are never paired).
 2. Order of shingles: rarest first, by document frequency over all classes. Two sets of Jaccard ``t`` or more share one of
-   their first ``n - ceil(t n) + 1`` shingles under any common order. Frequencies are counted for a quarter of the hash
-   space in long sets (that quarter comes first in the order, and holds more than the prefix) and for all of it in short
-   ones. A class whose prefix holds only shingles of frequency 1 is linked with nothing and leaves here.
+   their first ``n - ceil(t n) + 1`` shingles under any common order. Frequencies are counted for a part of the hash space
+   in long sets (that part comes first in the order, and holds 2.5 prefixes) and for all of it in short ones. A class whose prefix holds only shingles of frequency 1 is linked with nothing and leaves here.
 3. Classes of identical prefix and size form one group; groups that share a prefix shingle, at sizes that can link, are
    joined to the smallest one of the list. The candidate graph has a star per list, never its pairs.
 4. Each candidate component is expanded to its members and verified inside: every pair, by counting over the component's
@@ -33,11 +32,12 @@ from folioscope.llm.components import connected_components
 from folioscope.llm.shingles import mix, shingle_set
 from folioscope.llm.storage import Scratch
 
-#: Sets from LONG_FROM on are ordered by frequencies of one hash in SHARE, sets up to the largest that a shorter one can
-#: link to by full frequencies.
-LONG_FROM, SHARE = 64, 4
+#: Sets from LONG_FROM on are ordered by frequencies of a share of the hashes (``_share``), sets up to the largest that a
+#: shorter one can link to by full frequencies. Sets and their keys are dealt in so many passes by hash, one after another,
+#: each of which frees its shuffle.
+LONG_FROM, PASSES = 64, 4
 #: Sets and shingles that a tile holds at most, on average; candidate classes whose ids are broadcast at most.
-TILE_SETS, TILE_SHINGLES, MAX_BROADCAST = 256, 150_000, 300_000
+TILE_SETS, TILE_SHINGLES, MAX_BROADCAST = 512, 300_000, 300_000
 _SHORT, _REST = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
@@ -45,6 +45,12 @@ def _prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
+def _share(percent: int) -> int:
+    """Sets of LONG_FROM and more are ordered by frequencies of one hash in so many: the keys counted are 2.5 prefixes or more, so
+    that a prefix leaves out the commonest of them, and a quarter at least."""
+    return min(4, max(1, 40 // max(1, 100 - percent)))
+
+
 def universes(s: np.ndarray, percent: int) -> list[dict]:
     """What a set sends to be counted: ``keys`` to order by frequency, ``rest`` (already ordered) should they be too few."""
     n = len(s)
@@ -52,7 +58,7 @@ def universes(s: np.ndarray, percent: int) -> list[dict]:
     if percent * n <= 100 * LONG_FROM:
         out.append({"p": p, "keys": mix(s ^ _SHORT).view(np.int64), "rest": []})
     if n >= LONG_FROM:
-        first = s % np.uint64(SHARE) == 0
+        first = s % np.uint64(_share(percent)) == 0
         keys = s[first]
         rest = np.sort(mix(s[~first] ^ _REST))[: max(0, p - len(keys))]
         out.append({"p": p, "keys": mix(keys).view(np.int64), "rest": rest.view(np.int64)})
@@ -87,7 +93,7 @@ def verified_forest(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, p
     sizes = np.array([len(s) for s in sets])
     codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
     owner = np.repeat(np.arange(m), sizes)
-    order = np.argsort(codes, kind="stable")
+    apart, order = m - 1, np.argsort(codes, kind="stable")
     holders, ends = owner[order], np.cumsum(np.bincount(codes))
     starts = np.concatenate([[0], ends[:-1]])
     at = np.concatenate([[0], np.cumsum(sizes)])
@@ -102,6 +108,8 @@ def verified_forest(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, p
 
     out = []
     for a in range(m):
+        if not apart:  # all are linked already
+            break
         own = codes[at[a] : at[a + 1]]
         long = ends[own] - starts[own]
         total = int(long.sum())
@@ -116,6 +124,7 @@ def verified_forest(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, p
             x, y = root(a), root(b)
             if x != y:
                 parent[max(x, y)] = min(x, y)
+                apart -= 1
                 out.append((int(ids[a]), int(ids[b])))
     return out
 
@@ -136,13 +145,18 @@ def _candidate_edges(scratch: Scratch, classes: DataFrame, percent: int) -> Data
     """``(a, b)``: edges whose components hold every pair of classes that can link."""
     band = F.floor(F.log("n") / math.log(100 / percent))
     uni = classes.select("cid", "n", F.posexplode("uni").alias("u", "x")).select("cid", "u", band.alias("band"), "n", F.col("x.p").alias("p"), F.size("x.keys").alias("total"), F.col("x.keys").alias("keys"), F.col("x.rest").alias("rest"))
-    postings = uni.select("cid", "u", F.explode("keys").alias("key"))
-    frequent = postings.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = postings.join(frequent, "key").groupBy("cid", "u").agg(F.collect_list(F.struct("df", "key")).alias("shared"))
+    repeated = []
+    for r in range(PASSES):
+        postings = uni.select("cid", "u", F.explode(F.filter("keys", lambda k: F.pmod(k, F.lit(PASSES)) == r)).alias("key"))  # noqa: B023
+        frequent = postings.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+        repeated.append(postings.join(frequent, "key").select("cid", "u", "df", "key"))
+    repeated = scratch.table(*repeated)
+    shared = repeated.groupBy("cid", "u").agg(F.collect_list(F.struct("df", "key")).alias("shared"))
     known = uni.drop("keys").join(shared, ["cid", "u"], "left")
     lowest = F.expr("slice(array_sort(coalesce(shared, array())), 1, greatest(0, p - (total - coalesce(size(shared), 0))))")
     prefixes = known.withColumn("keys", F.concat(F.transform(lowest, lambda x: x["key"]), F.col("rest"))).where(F.size("keys") > 0).select("cid", "u", "band", "n", "keys")
     prefixes = scratch.table(prefixes)
+    scratch.drop(repeated)
     group = prefixes.groupBy("n", F.xxhash64("keys").alias("h"), F.hash("keys").alias("h2")).agg(F.min("cid").alias("gid"))
     member = prefixes.select("cid", "n", F.xxhash64("keys").alias("h"), F.hash("keys").alias("h2")).join(group, ["n", "h", "h2"])
     grouped = member.where("cid != gid").select(F.col("cid").alias("a"), F.col("gid").alias("b"))
@@ -180,7 +194,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = 3, perc
     scratch = Scratch(spark, "jaccard")
     kind = "doc_id long, n int, sig binary, uni array<struct<p:int,keys:array<bigint>,rest:array<bigint>>>"
     wide = scratch.table(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(_sets(size, percent), kind))
-    ordered = scratch.table(wide.where("n > 0").dropDuplicates(["sig"]).withColumn("cid", F.monotonically_increasing_id()))
+    parts = [wide.where("n > 0").where(F.pmod(F.xxhash64("sig"), F.lit(PASSES)) == r).dropDuplicates(["sig"]) for r in range(PASSES)]
+    ordered = scratch.table(*[part.withColumn("cid", F.monotonically_increasing_id() * PASSES + r) for r, part in enumerate(parts)])
     rows = scratch.table(wide.drop("uni"))
     scratch.drop(wide)
     edges = scratch.table(_candidate_edges(scratch, ordered, percent).where("a != b").distinct())

@@ -2,6 +2,7 @@ import numpy as np
 
 from folioscope.llm import jaccard_join, pivot_index
 from folioscope.llm.shingles import shingle_set
+from folioscope.llm.storage import Scratch
 from tests.llm.cases import documents, no_documents, prose
 
 
@@ -51,6 +52,28 @@ def test_join_around_the_threshold(spark):
     check(spark, spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def test_common_passages_make_no_candidates(spark, monkeypatch):
+    common, seen, units = prose(3, 40), [], jaccard_join._units
+    own = [" ".join(f"w{k}x{j}" for j in range(70)) for k in range(60)]
+    rows = [(k, f"{common} {t}") for k, t in enumerate(own)] + [(100, f"{common} {own[0]} more")]
+    monkeypatch.setattr(jaccard_join, "_units", lambda members: seen.append(members.count()) or units(members))
+    got = jaccard_join.jaccard_components(spark, spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert {r.doc_id: r.component_id for r in got} == {**{k: k for k in range(60)}, 100: 0}
+    assert seen == [2]
+
+
+def test_intermediate_tables_free_their_shuffles(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before = shuffled()
+    counts = spark.range(1000, numPartitions=3).selectExpr("id % 7 AS k").groupBy("k").count()
+    scratch = Scratch(spark, "freed")
+    table = scratch.table(counts, counts.selectExpr("k + 10 AS k", "count"))
+    assert shuffled() <= before and sorted(r.k for r in table.collect()) == [*range(7), *range(10, 17)]
+
+
 def test_large_component_is_tiled(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "TILE_SETS", 5)
     base = prose(5, 100).split()
