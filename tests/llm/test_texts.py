@@ -3,6 +3,7 @@ import math
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,6 +24,19 @@ def test_scores_and_base_counts(spark):
     assert all(r.train_tokens == n and r.score < 0 and math.isfinite(r.score) for r in got)
 
 
+def test_chunks_hold_each_text_as_places_of_its_words(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "CHUNK_DOCS", 2)
+    texts = ["One two one", None, "two three", "", "three\nthree"]
+    batch = pd.DataFrame({"doc_id": range(5), "text": texts, "held_out": [False, False, True, False, False], "cls": 1})
+    rows = pd.concat(lm_scoring._chunks(iter([batch[:3], batch[3:]])))
+    docs, words = rows[rows["h"].isna()], rows[rows["h"].notna()]
+    for row, text in zip(docs.itertuples(), texts, strict=True):
+        own = words[words["chunk"] == row.chunk].set_index("place")["word"]
+        tokens = [own[i] for i in np.frombuffer(row.ids, np.int32)]
+        assert tokens == [*words_of(text), b"\n"] and row.size == len(b" ".join(tokens))
+    assert words.groupby("word")["c1"].sum().to_dict() == {b"one": 2, b"two": 1, b"three": 2, b"\n": 4}
+
+
 def test_model_is_a_distribution_over_words():
     rng = np.random.default_rng(0)
     table = rng.integers(0, 5, (len(lm_scoring.ORDERS), 2 * lm_scoring.SLOTS)).astype(np.float32)
